@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tallyloom.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
+from tallyloom.llm.packing import op6_packing
 from tallyloom.llm.secrets import ORACLE_OP9, op9_secrets
 
-QUERIES = {"op9_secrets": op9_secrets}
-ORACLE = {"op9_secrets": ORACLE_OP9}
+QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op9_secrets": op9_secrets}
+ORACLE = {"op5_exact_dedup": ORACLE_OP5, "op9_secrets": ORACLE_OP9}
