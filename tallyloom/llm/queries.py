@@ -5,9 +5,10 @@ from __future__ import annotations
 from tallyloom.llm.byte_bpe import op10_byte_bpe
 from tallyloom.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
 from tallyloom.llm.langid import op8_language_id
+from tallyloom.llm.mtree import ORACLE_OP4, op4_topk
 from tallyloom.llm.packing import op6_packing
 from tallyloom.llm.secrets import ORACLE_OP9, op9_secrets
 from tallyloom.llm.toxicity import op1_toxicity
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op8_language_id": op8_language_id, "op9_secrets": op9_secrets, "op10_byte_bpe": op10_byte_bpe}
-ORACLE = {"op5_exact_dedup": ORACLE_OP5, "op9_secrets": ORACLE_OP9}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_topk": op4_topk, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op8_language_id": op8_language_id, "op9_secrets": op9_secrets, "op10_byte_bpe": op10_byte_bpe}
+ORACLE = {"op4_topk": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op9_secrets": ORACLE_OP9}
