@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import pieces, read, texts_of
 
 #: Bounds of the labelled sample (rows of label 1 and of label 0), and of the terms that vectors have.
-SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_TERMS = 6_000, 12_000, 512
+SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_TERMS = 6_000, 12_000, 256
+#: Of the sample, rows that scores are calibrated on.
+CALIBRATION_ROWS = 3_000
 #: A term is used if label 1 has it in as many sampled rows and its chi-square is as large
 #: (about one chance in 10^7, as some 10^6 terms are tried).
 MIN_ROWS, MIN_CHI2 = 5, 28.0
@@ -28,41 +30,40 @@ def terms_of(text: str) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors in blocks of rows, with the largest weight of each term in each block."""
+    """Postings of unit vectors by term in blocks of rows, with the largest weight of a term in a block.
+
+    A term's postings in a block are one dense row of the pool; where a block lacks the term, row 0."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> None:
         order = np.lexsort((ids, *vectors.T, vectors.argmax(axis=1) if vectors.size else np.zeros(len(ids))))  # like beside like
-        vectors, self.ids, self.block = vectors[order], ids[order], block
-        self.order = order
         n, terms = vectors.shape
         blocks = -(-n // block)
-        self.most = np.zeros((blocks, terms))
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(blocks):
-            part = vectors[b * block : (b + 1) * block]
-            self.most[b] = part.max(axis=0)
-            self.postings.append({int(t): (at := np.flatnonzero(part[:, t]), part[at, t]) for t in np.flatnonzero(self.most[b])})
+        padded = np.zeros((blocks * block, terms))
+        padded[:n] = vectors[order]
+        cut = padded.reshape(blocks, block, terms).transpose(2, 0, 1)
+        self.ids, self.order, self.block = ids[order], order, block
+        self.most = cut.max(axis=2) if blocks else np.zeros((terms, 0))
+        there = self.most > 0
+        self.where = np.where(there, np.cumsum(there.ravel()).reshape(there.shape), 0).astype(np.int32)
+        self.pool = np.concatenate([np.zeros((1, block)), cut[there]])
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int, int]]:
         """The k best (similarity, id, row as given), best first, ties to smaller ids; all if fewer match.
 
-        Blocks are visited by falling upper bound, up to the first that can't reach the k-th best."""
-        bounds = self.most[:, terms] @ weights
-        best: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < best[-1][0] - 1e-9:
-                break
-            score, own = np.zeros(self.block), self.postings[b]
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if t in own:
-                    score[own[t][0]] += w * own[t][1]
-            low = best[-1][0] - 1e-9 if len(best) == k else 0.0
-            for i in np.flatnonzero(score > max(low, 0.0)).tolist():
-                at = b * self.block + i
-                if without is None or self.order[at] != without:
-                    best.append((round(float(score[i]), 9), int(self.ids[at]), int(self.order[at])))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
+        Blocks are visited by falling upper bound, a few at a time, up to the first that can't reach the
+        k-th best."""
+        bounds = weights @ self.most[terms]
+        visit = np.argsort(-bounds, kind="stable")
+        at, best, step, least = 0, [], 8, 0.0
+        while at < len(visit) and bounds[visit[at]] > 0 and (len(best) < k or bounds[visit[at]] >= least - 1e-9):
+            part = visit[at : at + step]
+            score = np.tensordot(weights, self.pool[self.where[np.ix_(terms, part)]], axes=1)
+            found = np.flatnonzero(score.ravel() > max(least - 1e-9, 0.0))
+            rows = part[found // self.block] * self.block + found % self.block
+            best += zip(np.round(score.ravel()[found], 9).tolist(), self.ids[rows].tolist(), self.order[rows].tolist(), strict=True)
+            best = sorted((x for x in best if x[2] != without), key=lambda x: (-x[0], x[1]))[:k]
+            least = best[-1][0] if len(best) == k else 0.0
+            at, step = at + step, 2 * step
         return best
 
 
@@ -90,6 +91,7 @@ class ToxicityModel:
     row_weight: np.ndarray
     nothing: float  # score of a text without any of the terms
     points: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))
+    known: dict | None = None  # answers of this process, by vector
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The text's terms and weights, (1 + log tf) x idf, of length 1."""
@@ -108,11 +110,14 @@ class ToxicityModel:
     def judge(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
         """Calibrated score and the neighbours that it rests on."""
         at, w = self.vector(text)
-        found = self.index.search(at, w, NEIGHBOURS) if len(at) else []
-        if not found:
-            return self.nothing, []
-        vote = self.vote(found)
-        return float(np.clip(0.999 * np.interp(vote, *self.points) + 0.001 * vote, 0.0, 1.0)), found
+        if self.known is None or len(self.known) > 20_000:
+            self.known = {}
+        key = (at.tobytes(), w.tobytes())
+        if key not in self.known:
+            found = self.index.search(at, w, NEIGHBOURS) if len(at) else []
+            vote = self.vote(found) if found else 0.0
+            self.known[key] = (float(np.clip(0.999 * np.interp(vote, *self.points) + 0.001 * vote, 0.0, 1.0)) if found else self.nothing, found)
+        return self.known[key]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, max_terms: int = MAX_TERMS) -> ToxicityModel:
@@ -180,10 +185,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TO
     model.index = BlockMaxIndex(dense, np.array([r.doc_id for r in rows], np.int64))
     model.labels = np.array([float(r.toxic) for r in rows])
     model.row_weight = np.array([weight[r.toxic] for r in rows])
-    if rows:  # votes of each labelled row's other neighbours against its label
-        found = [model.index.search(np.array(r.terms), np.array(r.weights), NEIGHBOURS, without=i) for i, r in enumerate(rows)]
+    if rows:  # votes of labelled rows' other neighbours against their labels
+        some = np.random.default_rng(13).permutation(len(rows))[:CALIBRATION_ROWS]
+        found = [model.index.search(np.array(rows[i].terms), np.array(rows[i].weights), NEIGHBOURS, without=i) for i in some.tolist()]
         votes = np.array([model.vote(x) if x else model.nothing for x in found])
-        model.points = isotonic(votes, model.labels, model.row_weight)
+        model.points = isotonic(votes, model.labels[some], model.row_weight[some])
     return model
 
 
