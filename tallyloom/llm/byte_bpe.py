@@ -1,8 +1,7 @@
 """Byte-level BPE: each distinct pre-token is encoded once for the whole corpus, then joined back.
 
 The data move in blocks, not in rows of one word: a block is a few million bytes of documents. It
-explodes its texts into pre-tokens with positions, keeps them as indices into its own sorted distinct
-words, and sends each distinct word to the bucket of its hash. A bucket encodes every distinct word
+explodes its texts into pre-tokens with positions, keeps them as indices into its own distinct words, and sends each distinct word to the bucket of its hash. A bucket encodes every distinct word
 once and answers each block; the block puts the ids back by position. A frequent word is one entry of
 each block, so there is no hot key.
 """
@@ -10,10 +9,12 @@ each block, so there is no hot key.
 from __future__ import annotations
 
 import base64
+import re
 import struct
 import zlib
+from collections import defaultdict
 from functools import lru_cache
-from itertools import groupby
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,12 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import pieces, read, texts_of
 
 #: Bytes of text in a block, and buckets of distinct words. A bucket's words have to fit one worker.
-BLOCK_BYTES, BUCKETS = 3_000_000, 512
+BLOCK_BYTES, BUCKETS = 6_000_000, 512
+
+
+_OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]")
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+").findall
 
 
 class Ranks:
@@ -38,15 +44,21 @@ class Ranks:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self._split = regex.compile(public_tokenizers.PATTERN).findall
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.token_bytes = {i: b for b, i in ranks.items()}
+        self.wire = np.dtype("<u2" if max(self.token_bytes) < 1 << 16 else "<u4")  # of ids on their way
+
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens. In Latin-1 without the spaces on which libraries differ, re does it faster."""
+        return self._split(text) if _OTHER.search(text) else _LATIN(text)
 
     def encode(self, word: bytes) -> bytes:
-        return np.array(self.encoding._encode_single_piece(word), "<u4").tobytes()
+        """The word's ids as they travel."""
+        return np.array(self.encoding._encode_single_piece(word), self.wire).tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, self.wire).tolist()))
 
 
 @lru_cache(maxsize=2)
@@ -56,11 +68,12 @@ def ranks_of(path: str) -> Ranks:
 
 
 def pack_strings(items: list[bytes]) -> bytes:
-    """Lengths, then contents."""
-    return struct.pack("<I", len(items)) + np.array([len(x) for x in items], "<u4").tobytes() + b"".join(items)
+    """Number, lengths, then contents, compressed."""
+    return zstandard.compress(struct.pack("<I", len(items)) + np.array([len(x) for x in items], "<u4").tobytes() + b"".join(items), 3)
 
 
 def unpack_strings(data: bytes) -> list[bytes]:
+    data = zstandard.decompress(data)
     (n,) = struct.unpack_from("<I", data)
     ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
     starts = [4 + 4 * n, *ends[:-1].tolist()] if n else []
@@ -68,17 +81,43 @@ def unpack_strings(data: bytes) -> list[bytes]:
 
 
 def _blocks(batches, path: str, buckets: int):
-    """block id, Arrow rows, words by bucket, and the bytes of each text as indices of them."""
+    """block id, doc_ids, distinct words by first use, bucket of each, and of each text the indices of its words."""
     split = ranks_of(path).split
-    for k, batch in enumerate(pieces(batches, "text", BLOCK_BYTES, 20_000)):
-        tokens = [split(x) for x in texts_of(batch)]
-        distinct = sorted((zlib.crc32(b := w.encode("utf-8", "surrogatepass")) % buckets, b, w) for w in {w for own in tokens for w in own})
-        at = {w: i for i, (_, _, w) in enumerate(distinct)}
-        yield TaskContext.get().partitionId() << 32 | k, batch, [(b, w) for b, w, _ in distinct], [np.fromiter(map(at.__getitem__, own), np.int32, len(own)) for own in tokens]
 
-
-def _check(words: list[tuple[int, bytes]]) -> int:
-    return zlib.crc32(b"\xff".join(w for _, w in words))
+    def blocks():
+        ids, seen, index, size = [], defaultdict(count().__next__), [], 0
+        for batch in pieces(batches, "text", 1_000_000, 4096):
+            ids.append(batch.column("doc_id"))
+            for text in texts_of(batch):
+                index.append(np.fromiter(map(seen.__getitem__, own := split(text)), np.uint32, len(own)))
+                size += len(text)
+            if size >= BLOCK_BYTES:
+                yield ids, seen, index
+                ids, seen, index, size = [], defaultdict(count().__next__), [], 0
+        if ids:
+            yield ids, seen, index
+
+    for k, (ids, seen, index) in enumerate(blocks()):
+        words = [w.encode("utf-8", "surrogatepass") for w in seen]
+        hashes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        yield TaskContext.get().partitionId() << 32 | k, pa.chunked_array(ids), words, hashes, index
+
+
+def _planes(index: list[np.ndarray]) -> bytes:
+    """Lengths, then the low bytes of all indices, the next ones and so on, compressed: common words,
+    met early, have small indices."""
+    flat = np.concatenate(index) if index else np.zeros(0, np.uint32)
+    lengths = np.array([len(x) for x in index], "<u4")
+    planes = np.ascontiguousarray(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<I", len(index)) + lengths.tobytes() + planes.tobytes())
+
+
+def _from_planes(data: bytes) -> list[np.ndarray]:
+    data = zstandard.decompress(data)
+    (n,) = struct.unpack_from("<I", data)
+    lengths = np.frombuffer(data, "<u4", n, 4)
+    planes = np.frombuffer(data, np.uint8, offset=4 + 4 * n).reshape(4, -1)
+    return np.split(np.ascontiguousarray(planes.T).view("<u4").ravel(), np.cumsum(lengths)[:-1]) if n else []
 
 
 def encode_corpus(docs: DataFrame, ranks: str, buckets: int = BUCKETS) -> DataFrame:
@@ -94,10 +133,13 @@ def encode_corpus(docs: DataFrame, ranks: str, buckets: int = BUCKETS) -> DataFr
     docs = docs.select("doc_id", "text")
 
     def words(batches):
-        for block, _, distinct, _ in _blocks(batches, ranks, buckets):
-            check = _check(distinct)
-            rows = [(b, pack_strings([w for _, w in own])) for b, own in groupby(distinct, key=lambda x: x[0])]
-            yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(rows), pa.int64()), "check": pa.array([check] * len(rows), pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary())})
+        for block, _, own, hashes, _ in _blocks(batches, ranks, buckets):
+            bucket = hashes % buckets
+            order = np.argsort(bucket, kind="stable")
+            starts = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(own) else np.zeros(0, np.int64)
+            sent = [pack_strings([own[i] for i in part]) for part in np.split(order, starts[1:])] if len(own) else []
+            n = len(starts)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block] * n, pa.int64()), "check": pa.array([zlib.crc32(hashes)] * n, pa.int64()), "bucket": pa.array(bucket[order[starts]].astype(np.int32)), "words": pa.array(sent, pa.binary())})
 
     def answer(batches):
         encode, known, now = ranks_of(ranks).encode, {}, -1
@@ -115,32 +157,34 @@ def encode_corpus(docs: DataFrame, ranks: str, buckets: int = BUCKETS) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("check"), batch.column("bucket"), pa.array(out, pa.binary())], ["block", "check", "bucket", "ids"])
 
     def positions(batches):
-        press = zstandard.ZstdCompressor(level=1)
-        for block, batch, distinct, index in _blocks(batches, ranks, buckets):
-            body = pack_strings([x.tobytes() for x in index])
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_check(distinct)], pa.int64()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.schema.field("doc_id").type)), pa.array([press.compress(body)], pa.binary())], ["block", "check", "doc_ids", "index"])
+        for block, ids, _, hashes, index in _blocks(batches, ranks, buckets):
+            own = pa.array([ids.to_pylist()], pa.list_(ids.type))
+            where = zstandard.ZstdCompressor(level=1).compress((hashes % buckets).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([zlib.crc32(hashes)], pa.int64()), own, pa.array([where], pa.binary()), pa.array([_planes(index)], pa.binary())], ["block", "check", "doc_ids", "buckets", "index"])
 
     def rebuild(left: pa.Table, right: pa.Table) -> pa.Table:
-        decode = ranks_of(ranks).decode
-        if set(left.column("check").to_pylist()) != set(right.column("check").to_pylist()) and right.num_rows:
+        own = ranks_of(ranks)
+        kept = left.to_pylist()[0] if left.num_rows == 1 else {"check": None}
+        if right.num_rows and set(right.column("check").to_pylist()) != {kept["check"]}:
             raise RuntimeError("documents were read in other blocks the second time; give a table or a checkpoint")
         order = np.argsort(right.column("bucket").to_numpy())
         answers = right.column("ids").to_pylist()
-        ids = [x for i in order for x in unpack_strings(answers[i])]
-        back = [decode(x) for x in ids]
-        doc_ids, n, out, text = [], [], [], []
-        for own, body in zip(left.column("doc_ids").to_pylist(), left.column("index").to_pylist(), strict=True):
-            doc_ids += own
-            for x in unpack_strings(zstandard.decompress(body)):
-                at = np.frombuffer(x, np.int32).tolist()
-                out.append(b"".join(map(ids.__getitem__, at)))
-                text.append(b"".join(map(back.__getitem__, at)))
-                n.append(len(out[-1]) // 4)
-        return pa.table({"doc_id": pa.array(doc_ids, left.schema.field("doc_ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(out, pa.binary()), "decoded": pa.array(text, pa.binary())})
+        sent = [x for i in order for x in unpack_strings(answers[i])]
+        place = np.empty(len(sent), np.int64)
+        place[np.argsort(np.frombuffer(zstandard.decompress(kept["buckets"]), "<u2"), kind="stable")] = np.arange(len(sent))
+        ids = [sent[i] for i in place.tolist()]
+        back = [own.decode(x) for x in ids]
+        n, out, text = [], [], []
+        for x in _from_planes(kept["index"]):
+            at = x.tolist()
+            out.append(np.frombuffer(b"".join(map(ids.__getitem__, at)), own.wire).astype("<u4").tobytes())
+            text.append(b"".join(map(back.__getitem__, at)))
+            n.append(len(out[-1]) // 4)
+        return pa.table({"doc_id": pa.array(kept["doc_ids"], left.schema.field("doc_ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(out, pa.binary()), "decoded": pa.array(text, pa.binary())})
 
     asked = docs.mapInArrow(words, "block bigint, check bigint, bucket int, words binary")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block bigint, check bigint, bucket int, ids binary")
-    placed = docs.mapInArrow(positions, f"block bigint, check bigint, doc_ids array<{kind}>, index binary")
+    placed = docs.mapInArrow(positions, f"block bigint, check bigint, doc_ids array<{kind}>, buckets binary, index binary")
     return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rebuild, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
 
 

@@ -15,7 +15,7 @@ PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 def test_pre_tokens_encode_apart(text):
     own = B.ranks_of(PATH)
     ids = b"".join(own.encode(w.encode()) for w in own.split(text))
-    assert np.frombuffer(ids, "<u4").tolist() == own.encoding.encode_ordinary(text)
+    assert np.frombuffer(ids, own.wire).tolist() == own.encoding.encode_ordinary(text)
     assert own.decode(ids).decode() == text
 
 
