@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,13 +21,20 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+    """Cut lineage: write df in the folder that the cluster names in spark.checkpoint.dir and read it again.
 
-    Only where the setting is missing (tests, a laptop) is a folder made for it."""
-    sc = df.sparkSession.sparkContext
+    Only where the setting is missing (tests, a laptop) is a folder made for it. Unlike checkpoint(), the
+    table has sizes as they are: estimates of joins, multiplied round after round of a loop, would grow to
+    numbers that take the planner minutes. The table goes when the driver ends."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    where = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = sc._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
 
 
 def prefilter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
