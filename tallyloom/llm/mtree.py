@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.common import read
 
-#: Rows of a leaf page and children of an inner page; rows of a shard; queries of a block.
-PAGE, FANOUT, SHARD_ROWS, QUERY_BLOCK = 64, 16, 20_000, 512
+#: Rows of a leaf page and children of an inner page; rows of a shard.
+PAGE, FANOUT, SHARD_ROWS = 512, 16, 25_000
 
 
 class _Node:
@@ -38,6 +38,8 @@ class MTree:
         norms = (self.vectors**2).sum(axis=1)
         self.most = int(norms.max()) if len(norms) else 0
         self.space = np.column_stack([self.vectors, np.sqrt(self.most - norms)]) if len(norms) else np.zeros((0, 1))
+        # whole numbers below 2^53 are exact as floats
+        self.exact = self.vectors.astype(float) if self.most < 1 << 50 else self.vectors
         self.distances = 0  # computed by searches so far
         self.rng = np.random.default_rng(11)
         self.root = self._load(np.arange(len(ids)), self.space[0], 0)[0] if len(ids) else None
@@ -85,7 +87,14 @@ class MTree:
             if node.children is None:
                 at = node.at[reach <= limit]
                 self.distances += len(at)
-                for score, i in zip((self.vectors[at] @ query).tolist(), self.ids[at].tolist(), strict=True):
+                rows = self.exact if square < 1 << 50 else self.vectors
+                scores = (rows[at] @ query.astype(rows.dtype)).astype(np.int64)
+                if len(best) == k:
+                    at, scores = at[near := scores >= best[0][0]], scores[near]
+                elif len(at) > 4 * k:
+                    near = scores >= np.partition(scores, len(at) - k - 1)[len(at) - k - 1]
+                    at, scores = at[near], scores[near]
+                for score, i in zip(scores.tolist(), self.ids[at].tolist(), strict=True):
                     if i == without:
                         continue
                     if len(best) < k:
