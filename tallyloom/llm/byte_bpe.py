@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import pieces, read, texts_of
+from tallyloom.llm.common import pack_strings, pieces, read, texts_of, unpack_strings
 
 #: Bytes of text in a block, and buckets of distinct words. A bucket's words have to fit one worker.
 BLOCK_BYTES, BUCKETS = 6_000_000, 512
@@ -67,19 +67,6 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
-def pack_strings(items: list[bytes]) -> bytes:
-    """Number, lengths, then contents, compressed."""
-    return zstandard.compress(struct.pack("<I", len(items)) + np.array([len(x) for x in items], "<u4").tobytes() + b"".join(items), 3)
-
-
-def unpack_strings(data: bytes) -> list[bytes]:
-    data = zstandard.decompress(data)
-    (n,) = struct.unpack_from("<I", data)
-    ends = np.cumsum(np.frombuffer(data, "<u4", n, 4), dtype=np.int64) + 4 + 4 * n
-    starts = [4 + 4 * n, *ends[:-1].tolist()] if n else []
-    return [data[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
-
-
 def _blocks(batches, path: str, buckets: int):
     """block id, doc_ids, distinct words by first use, bucket of each, and of each text the indices of its words."""
     split = ranks_of(path).split

@@ -8,9 +8,10 @@ from tallyloom.llm.langid import op8_language_id
 from tallyloom.llm.mtree import ORACLE_OP4, op4_topk
 from tallyloom.llm.near_dedup import op2_near_dedup
 from tallyloom.llm.packing import op6_packing
+from tallyloom.llm.passages import op7_passages
 from tallyloom.llm.secrets import ORACLE_OP9, op9_secrets
 from tallyloom.llm.toxicity import op1_toxicity
 from tallyloom.llm.urls import op3_urls
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_urls": op3_urls, "op4_topk": op4_topk, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op8_language_id": op8_language_id, "op9_secrets": op9_secrets, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_urls": op3_urls, "op4_topk": op4_topk, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op7_passages": op7_passages, "op8_language_id": op8_language_id, "op9_secrets": op9_secrets, "op10_byte_bpe": op10_byte_bpe}
 ORACLE = {"op4_topk": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op9_secrets": ORACLE_OP9}
