@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tallyloom.llm.byte_bpe import op10_byte_bpe
 from tallyloom.llm.exact_dedup import ORACLE_OP5, op5_exact_dedup
 from tallyloom.llm.langid import op8_language_id
@@ -13,5 +14,5 @@ from tallyloom.llm.secrets import ORACLE_OP9, op9_secrets
 from tallyloom.llm.toxicity import op1_toxicity
 from tallyloom.llm.urls import op3_urls
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_urls": op3_urls, "op4_topk": op4_topk, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op7_passages": op7_passages, "op8_language_id": op8_language_id, "op9_secrets": op9_secrets, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_near_dedup": op2_near_dedup, "op3_urls": op3_urls, "op4_topk": op4_topk, "op5_exact_dedup": op5_exact_dedup, "op6_packing": op6_packing, "op7_passages": op7_passages, "op8_language_id": op8_language_id, "op9_secrets": op9_secrets, "op10_byte_bpe": op10_byte_bpe, "pipeline": corpus_pipeline.run}
 ORACLE = {"op4_topk": ORACLE_OP4, "op5_exact_dedup": ORACLE_OP5, "op9_secrets": ORACLE_OP9}
