@@ -54,17 +54,25 @@ class BlockMaxIndex:
         k-th best."""
         bounds = weights @ self.most[terms]
         visit = np.argsort(-bounds, kind="stable")
-        at, best, step, least = 0, [], 8, 0.0
-        while at < len(visit) and bounds[visit[at]] > 0 and (len(best) < k or bounds[visit[at]] >= least - 1e-9):
+        visit = visit[: np.count_nonzero(bounds > 0)]
+        at, step, least = 0, 16, 0.0
+        scores, rows = np.zeros(0), np.zeros(0, np.int64)
+        while at < len(visit) and (len(rows) < k or bounds[visit[at]] >= least - 1e-9):
             part = visit[at : at + step]
-            score = np.tensordot(weights, self.pool[self.where[np.ix_(terms, part)]], axes=1)
-            found = np.flatnonzero(score.ravel() > max(least - 1e-9, 0.0))
-            rows = part[found // self.block] * self.block + found % self.block
-            best += zip(np.round(score.ravel()[found], 9).tolist(), self.ids[rows].tolist(), self.order[rows].tolist(), strict=True)
-            best = sorted((x for x in best if x[2] != without), key=lambda x: (-x[0], x[1]))[:k]
-            least = best[-1][0] if len(best) == k else 0.0
+            score = np.tensordot(weights, self.pool[self.where[terms][:, part]], axes=1).ravel()
+            found = np.flatnonzero(score > max(least - 1e-9, 0.0))
+            own = part[found // self.block] * self.block + found % self.block
+            if without is not None:
+                found, own = found[keep := self.order[own] != without], own[keep]
+            scores, rows = np.append(scores, np.round(score[found], 9)), np.append(rows, own)
+            if len(rows) > k:
+                near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+                near = near[np.lexsort((self.ids[rows[near]], -scores[near]))[:k]]
+                scores, rows = scores[near], rows[near]
+            least = scores.min() if len(rows) == k else 0.0
             at, step = at + step, 2 * step
-        return best
+        order = np.lexsort((self.ids[rows], -scores))
+        return list(zip(scores[order].tolist(), self.ids[rows[order]].tolist(), self.order[rows[order]].tolist(), strict=True))
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
