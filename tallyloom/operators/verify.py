@@ -28,3 +28,10 @@ def equal(expected: DataFrame, actual: DataFrame) -> DataFrame:
 def first_diffs(expected: DataFrame, actual: DataFrame, most: int = 10) -> DataFrame:
     """The first few differing lines, for a report."""
     return diff(expected, actual).orderBy("value", "side").limit(most)
+
+
+def subset(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """One row: whether every distinct value of keys' one column is in known's, and how many are not."""
+    (a,), (b,) = keys.columns, known.columns
+    missing = keys.distinct().join(known, keys[a] == known[b], "left_anti")
+    return missing.agg((F.count(F.lit(1)) == 0).alias("subset"), F.count(F.lit(1)).alias("missing"))

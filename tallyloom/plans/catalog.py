@@ -271,6 +271,20 @@ def verify_diff(spark, sf):
     return V.diff(A.lines(A.channel_month_stats(m)), A.lines(A.channel_month_stats(m.where("stamp_count <> 7"))))
 
 
+@query(f"""WITH {_E}, f AS (SELECT * FROM e WHERE stamp_count <> 7), a AS ({_lines('e')}), b AS ({_lines('f')}),
+ x AS (SELECT 'expected' AS side, value FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'actual', value FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a))
+ SELECT side, value, count(*) AS n FROM x GROUP BY 1, 2 ORDER BY value, side LIMIT 10""")
+def first_diffs(spark, sf):
+    m = R.messages_from_events(spark, sf)
+    return V.first_diffs(A.lines(A.channel_month_stats(m)), A.lines(A.channel_month_stats(m.where("stamp_count <> 7"))))
+
+
+@query(f"WITH {_E} SELECT count(*) = 0 AS subset, count(*) AS missing FROM (SELECT DISTINCT channel_path FROM e WHERE stamp_count > 50) WHERE channel_path NOT IN (SELECT channel_path FROM e WHERE stamp_count < 20)")
+def subset_test(spark, sf):
+    m = R.messages_from_events(spark, sf)
+    return V.subset(m.where("stamp_count > 50").select("channel_path"), m.where("stamp_count < 20").select(F.col("channel_path").alias("known")))
+
+
 _BOARD = "SELECT user_id AS name, sum(floor(value * 100)::BIGINT)::BIGINT AS score FROM events WHERE event_id % 2 = {} GROUP BY 1"
 
 

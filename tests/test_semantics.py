@@ -152,3 +152,14 @@ def test_flagship_plan_has_one_small_shuffle(spark, sf_dir):
 def test_coverage_and_jst(spark):
     df = spark.createDataFrame([("2026-07-18T18:49:00Z",), ("soon",), (None,)], "t string")
     assert [r[0] for r in df.select(S.utc_to_jst(F.col("t"))).collect()] == ["7/19 03:49", "soon", None]
+
+
+def test_unpack_zstd(tmp_path):
+    import zstandard
+
+    from tallyloom.sources.compressed import unpack_zstd
+
+    data = zstandard.compress(SAMPLE.encode()) + zstandard.compress(b"more\n")
+    (tmp_path / "a.zst").write_bytes(data)
+    assert unpack_zstd(str(tmp_path / "a.zst"), str(tmp_path / "a.csv")) == len(SAMPLE) + 5
+    assert (tmp_path / "a.csv").read_text() == SAMPLE + "more\n"
