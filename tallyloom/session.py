@@ -24,3 +24,15 @@ def session(name: str = "tallyloom", cores: int | str = "*", partitions: int = 8
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def share_path(spark: SparkSession) -> SparkSession:
+    """Let Python workers that start from now on import this package from where the driver has it.
+
+    For sessions that somebody else made, in another folder. On a cluster the package is installed, or
+    shipped with --py-files, as usual."""
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+    return spark
