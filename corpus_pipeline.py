@@ -6,6 +6,8 @@ documents. Every stage is an operator of tallyloom.llm and carries whole texts.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +17,12 @@ from tallyloom.llm.near_dedup import drop_near_duplicates
 from tallyloom.llm.packing import pack_binary
 from tallyloom.llm.secrets import redact_secrets
 from tallyloom.llm.toxicity import fit_toxicity, learnable, score_toxicity
+from tallyloom.session import share_path
+
+
+def _anywhere(stage):
+    """The stage, for sessions whose workers don't have this folder on their path yet."""
+    return wraps(stage)(lambda spark, docs, sf_dir: stage(share_path(spark), docs, sf_dir))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_binary(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("secrets", mask_secrets), ("packing", pack)]
+STAGES = [(name, _anywhere(stage)) for name, stage in (("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("secrets", mask_secrets), ("packing", pack))]
 
 #: Models, signatures and automata are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
