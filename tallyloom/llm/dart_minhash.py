@@ -41,8 +41,14 @@ def _hash_words(words: list[str]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
-def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of all texts (uint64, sorted in each text) and how many each text has.
+def _order(values: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Order by row, then value; row is small and is sorted by radix."""
+    by_value = np.argsort(values)
+    return by_value[np.argsort(row[by_value].astype(np.uint16), kind="stable")] if len(row) and row[-1] < 1 << 16 else np.lexsort((values, row))
+
+
+def cells(texts: list[str], ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of all texts (uint64, sorted in each text if ordered) and how many each text has.
 
     Words are runs of letters, digits and underscores in lower case. A text of fewer words than SHINGLE
     is one shingle; a text without words has none."""
@@ -59,13 +65,14 @@ def cells(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first[(np.cumsum(counts) - counts)[counts > 0]] = True
     whole = (left >= SHINGLE) | first & (counts[row] < SHINGLE)
     row, total = row[whole], total[whole]
-    order = np.lexsort((total, row))
+    order = _order(total, row)
     row, total = row[order], total[order]
     new = np.append(True, (row[1:] != row[:-1]) | (total[1:] != total[:-1])) if len(row) else np.zeros(0, bool)
     nth = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
     out = mix(total + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    order = np.lexsort((out, row))
-    return out[order], np.bincount(row, minlength=len(texts)) if len(row) else np.zeros(len(texts), np.int64)
+    if ordered:
+        out = out[_order(out, row)]
+    return out, np.bincount(row, minlength=len(texts)) if len(row) else np.zeros(len(texts), np.int64)
 
 
 def _throw(cell: np.ndarray, text: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,6 +11,8 @@ from tallyloom.llm import dart_minhash as darts
 from tallyloom.llm.common import cut, pieces, prefilter, read, texts_of
 
 SIMILARITY = 0.8
+#: Rows and cells of what is left of a bucket that one task may settle by itself.
+GROUP_ROWS, GROUP_CELLS = 2_000, 4_000_000
 
 
 def _sign(docs: DataFrame) -> DataFrame:
@@ -18,12 +20,12 @@ def _sign(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches, "text", 1_500_000, 1024):
-            cell, counts = darts.cells(texts_of(batch))
+            cell, counts = darts.cells(texts_of(batch), ordered=False)
             keys = darts.band_keys(darts.signatures(cell, counts)).view(np.int64)
-            row = np.repeat(np.arange(len(counts)), counts)
+            some = counts > 0
             sums = [np.zeros(len(counts), np.uint64) for _ in range(2)]
-            for k, total in enumerate(sums):
-                np.add.at(total, row, darts.mix(cell ^ np.uint64(k + 1)))
+            for k, total in enumerate(sums):  # the order of a text's cells doesn't matter
+                total[some] = np.add.reduceat(darts.mix(cell ^ np.uint64(k + 1)), (np.cumsum(counts) - counts)[some]) if some.any() else 0
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * darts.BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x.view(np.int64)) for x in sums), pa.array(counts), bands], ["_row", "doc_id", "text_hash", "fp1", "fp2", "size", "bands"])
 
@@ -57,41 +59,80 @@ def _measure(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a_hash").join(one("b"), "b_hash").select("a", "a_cells", "b", "b_cells").mapInArrow(run, "a bigint, b bigint, sim double")
 
 
-def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def _settle(group: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Links a, b within small groups: every pair that is not connected yet and, by its members' distances
+    from the leader, could be near is compared."""
+    reach = 1.0 - threshold + 1e-12
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = sorted(rows.select(["node", "tag", "d", "cells"]).to_pylist(), key=lambda r: r["node"])
+        own = [np.frombuffer(r["cells"], np.uint64) for r in rows]
+        top = list(range(len(rows)))
+
+        def find(i: int) -> int:
+            while top[i] != i:
+                top[i] = top[top[i]]
+                i = top[i]
+            return i
+
+        first: dict[int, int] = {}
+        for i, r in enumerate(rows):
+            if r["tag"] is not None:
+                top[i] = find(first.setdefault(r["tag"], i))
+        found = []
+        for i, x in enumerate(rows):
+            for j in range(i):
+                if find(i) != find(j) and abs(x["d"] - rows[j]["d"]) <= reach and min(len(own[i]), len(own[j])) >= threshold * max(len(own[i]), len(own[j])) and darts.similarity(own[i], own[j]) >= threshold:
+                    top[find(i)] = find(j)
+                    found.append((x["node"], rows[j]["node"]))
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return group.join(cells, "text_hash").select("band", "key", "node", "tag", "d", "cells").groupBy("band", "key").applyInArrow(run, "a bigint, b bigint")
+
+
+def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | None:
     """Links a, b between nodes: enough of those at the threshold or above to connect all that a band brings together.
 
     In each bucket one leader is compared with all others: as many comparisons as rows, never all pairs.
     By the triangle inequality of the distance 1 - similarity, a member whose distance from the leader is d
-    can only be near members from d - (1 - threshold) to d + (1 - threshold). Members near the leader are
-    connected already, so they stay for another round only if someone who is not near the leader is
-    within that reach of them. Rounds go on, each with another leader, until no bucket holds members that
-    could still be linked but are not connected: no link that matters is lost."""
+    can only be near members from d - (1 - threshold) to d + (1 - threshold). Members connected to the leader
+    stay only if someone who isn't is within that reach of them.
+    What stays of a bucket is settled at once if it is small (GROUP_ROWS and GROUP_CELLS); a larger rest gets
+    another leader, round after round, until it is small or nobody in it could still be linked. So no link
+    that matters is lost, whatever a bucket's size.
+    """
     reach = 1.0 - threshold + 1e-12
-    spread = nodes.select("node", "text_hash", F.posexplode("bands").alias("band", "key")).withColumn("tag", F.lit(None).cast("bigint"))
+    spread = nodes.select("node", "text_hash", "size", F.posexplode("bands").alias("band", "key")).withColumn("tag", F.lit(None).cast("bigint"))
     common = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
     group = cut(spread.join(common, ["band", "key"]))
-    links = None
-    cells = None
+    links = cells = None
     while not group.isEmpty():
         if cells is None:
             cells = cut(_cells_of(docs, group.select("text_hash")))
-        # a leader is a member that is near no earlier leader, if there is one; another in each band
-        order = F.col("node").bitwiseXOR(F.xxhash64("band").bitwiseAND(F.lit((1 << 62) - 1)))
-        lead = group.groupBy("band", "key").agg(F.min(F.when(F.col("tag").isNull(), order)).alias("new"), F.min(order).alias("any"))
-        lead = lead.select("band", "key", F.coalesce("new", "any").bitwiseXOR(F.xxhash64("band").bitwiseAND(F.lit((1 << 62) - 1))).alias("leader"))
-        leaders = lead.join(group.select("band", "key", F.col("node").alias("leader"), F.col("text_hash").alias("leader_hash")), ["band", "key", "leader"])
-        others = cut(group.join(leaders, ["band", "key"]).where(F.col("node") != F.col("leader")))
-        pairs = others.select(F.col("node").alias("a"), F.col("text_hash").alias("a_hash"), F.col("leader").alias("b"), F.col("leader_hash").alias("b_hash")).distinct()
+        # a leader is a member that is connected to no other, if there is one
+        lead = group.groupBy("band", "key").agg(F.min(F.when(F.col("tag").isNull(), F.col("node"))).alias("new"), F.min(F.struct("node", "tag")).alias("any"))
+        lead = lead.select("band", "key", F.coalesce("new", "any.node").alias("leader"), F.when(F.col("new").isNull(), F.col("any.tag")).alias("leader_tag"))
+        hashes = nodes.select(F.col("node").alias("leader"), F.col("text_hash").alias("leader_hash"))
+        others = group.join(lead, ["band", "key"]).where(F.col("node") != F.col("leader"))
+        pairs = others.select(F.col("node").alias("a"), F.col("text_hash").alias("a_hash"), "leader").distinct().join(hashes, "leader").select("a", "a_hash", F.col("leader").alias("b"), F.col("leader_hash").alias("b_hash"))
         sims = cut(_measure(pairs, cells))
         near = sims.where(F.col("sim") >= threshold).select("a", "b")
         links = near if links is None else links.unionByName(near)
-        far = others.join(sims, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))).select("band", "key", "node", "text_hash", "tag", "leader", (1 - F.col("sim")).alias("d"))
+        far = others.join(sims, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))).select("band", "key", "node", "text_hash", "size", "tag", "leader", (1 - F.col("sim")).alias("d"))
+        # whoever is near the leader brings along those that it is connected to
         is_near = F.col("d") <= reach
-        gap = far.groupBy("band", "key").agg(F.min(F.when(~is_near, F.col("d"))).alias("gap"))
-        left = far.join(gap.where("gap is not null"), ["band", "key"]).where(~is_near | (F.col("gap") <= F.col("d") + reach))
-        left = left.select("band", "key", "node", "text_hash", F.when(is_near, F.col("leader")).otherwise(F.col("tag")).alias("tag"))
-        more = left.groupBy("band", "key").agg(F.min(F.coalesce("tag", "node")).alias("low"), F.max(F.coalesce("tag", "node")).alias("high")).where("low <> high").select("band", "key")
-        group = cut(left.join(more, ["band", "key"]))
+        joined = far.where(is_near & F.col("tag").isNotNull()).select("band", "key", "tag").union(lead.where("leader_tag is not null").select("band", "key", "leader_tag")).distinct().withColumn("joins", F.lit(True))
+        far = far.join(joined, ["band", "key", "tag"], "left").withColumn("tag", F.when(is_near | F.col("joins"), F.col("leader")).otherwise(F.col("tag"))).drop("joins")
+        apart = F.col("tag").isNull() | (F.col("tag") != F.col("leader"))
+        gap = far.groupBy("band", "key").agg(F.min(F.when(apart, F.col("d"))).alias("gap"))
+        left = far.join(gap.where("gap is not null"), ["band", "key"]).where(apart | (F.col("gap") <= F.col("d") + reach)).drop("gap", "leader")
+        side = F.coalesce("tag", "node")
+        more = left.groupBy("band", "key").agg(F.min(side).alias("low"), F.max(side).alias("high"), ((F.count(F.lit(1)) <= GROUP_ROWS) & (F.sum("size") <= GROUP_CELLS)).alias("small"))
+        left = cut(left.join(more.where("low <> high").select("band", "key", "small"), ["band", "key"]))
+        small = left.where("small")
+        if not small.isEmpty():
+            links = links.unionByName(_settle(small, cells, threshold))
+        group = left.where("not small").drop("d", "small")
     return links
 
 
@@ -126,7 +167,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
     """
     signed = cut(_sign(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    nodes = cut(signed.where("size > 0").groupBy("fp1", "fp2").agg(F.min("_row").alias("node"), first.alias("first"), F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands")))
+    nodes = cut(signed.where("size > 0").groupBy("fp1", "fp2").agg(F.min("_row").alias("node"), first.alias("first"), F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     links = _links(docs, nodes, threshold)
     if links is None:
         classes = nodes.select("fp1", "fp2", F.col("first.doc_id").alias("class_id"), F.col("rows").alias("class_size"), F.col("first._row").alias("keep"))

@@ -80,6 +80,18 @@ def test_query(spark):
     assert sum(r.kept for r in got) == len(classes(got))
 
 
+def test_large_rests_take_rounds(spark, monkeypatch):
+    monkeypatch.setattr(N, "GROUP_ROWS", 3)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in rng.integers(0, 10_000, 200)]
+    rows = []
+    for i in range(14):
+        rows.append((i, " ".join(base if i % 3 else base[:90] + [f"m{i}_{k}" for k in range(110)])))
+        at = int(rng.integers(0, 180))
+        base = base[:at] + [f"n{i}_{k}" for k in range(3)] + base[at + 3 :]
+    assert classes(N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == brute(rows)
+
+
 def test_chains_and_odd_rows(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 10_000, 300)]
