@@ -10,7 +10,8 @@ sends each value once, so a passage in a third of all documents is one value of
 from __future__ import annotations
 
 import zlib
-from itertools import groupby
+from collections import defaultdict
+from itertools import count, groupby
 
 import ahocorasick
 import numpy as np
@@ -51,30 +52,27 @@ class Block:
     """The words of some texts as numbers, with the hashes of their windows and anchors."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        words = [x.split() for x in texts]  # bytes.split() parts at exactly \x20 and \x09-\x0D
-        self.words = list(dict.fromkeys(w for own in words for w in own))
-        at = {w: i for i, w in enumerate(self.words)}
-        self.counts = np.array([len(w) for w in words], np.int64)
+        seen = defaultdict(count().__next__)
+        # bytes.split() parts at exactly \x20 and \x09-\x0D
+        word = [np.fromiter(map(seen.__getitem__, own := x.split()), np.int64, len(own)) for x in texts]
+        self.words = list(seen)
+        self.counts = np.array([len(w) for w in word], np.int64)
         self.ends = np.cumsum(self.counts)
-        self.word = np.fromiter((at[w] for own in words for w in own), np.int64, int(self.counts.sum()))
-        end = np.repeat(self.ends, self.counts)
-        self.valid = np.arange(len(self.word)) + WINDOW <= end
-
-    def _hashes(self, seed: int) -> np.ndarray:
-        return np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))[self.word]
+        self.word = np.concatenate([np.zeros(0, np.int64), *word])
+        self.valid = np.arange(len(self.word)) + WINDOW <= np.repeat(self.ends, self.counts)
+        self._hash = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), np.uint64).reshape(-1, 2)
 
     def find_anchors(self) -> None:
         """anchor: of each window; phrase: the hash at each place where a phrase is the anchor of some window."""
-        self.first = self._hashes(1)
-        n = WINDOW - PHRASE + 1
-        phrase = _run(self.first, PHRASE)
-        self.anchor = _extreme(phrase, n, np.minimum, True)
-        self.phrase = phrase[self._places(phrase, self.valid)]
+        self.first = self._hash[self.word, 0]
+        self._phrase = _run(self.first, PHRASE)
+        self.anchor = _extreme(self._phrase, WINDOW - PHRASE + 1, np.minimum, True)
+        self.phrase = self._phrase[self._places(self.valid)]
 
-    def _places(self, phrase: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        n = WINDOW - PHRASE + 1
-        top = _extreme(np.where(windows, self.anchor, np.uint64(0)), n, np.maximum, False)
-        return np.flatnonzero(top == phrase)
+    def _places(self, windows: np.ndarray) -> np.ndarray:
+        """Where a phrase is the anchor of one of these windows (a flag for each start)."""
+        top = _extreme(np.where(windows, self.anchor, np.uint64(0)), WINDOW - PHRASE + 1, np.maximum, False)
+        return np.flatnonzero(top == self._phrase)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Sorted hashes of the anchors, and whether each has two places or more here."""
@@ -96,7 +94,7 @@ class Block:
         and which of them each start has."""
         key = np.zeros(len(starts), [("a", "<u8"), ("b", "<u8")])
         if len(starts):
-            key["a"], key["b"] = _run(self.first, WINDOW)[starts], _run(self._hashes(2), WINDOW)[starts]
+            key["a"], key["b"] = _run(self.first, WINDOW)[starts], _run(self._hash[self.word, 1], WINDOW)[starts]
         order = np.lexsort((key["b"], key["a"]))
         key = key[order]
         new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
@@ -105,51 +103,38 @@ class Block:
         counts = np.bincount(which, minlength=int(new.sum())) if len(key) else np.zeros(0, np.int64)
         return key["a"][new], key["b"][new], counts > 1, which
 
-    def locate(self, starts: np.ndarray, which: np.ndarray, confirmed: np.ndarray) -> np.ndarray:
-        """For each word, whether a window that is confirmed covers it.
+    def locate(self, confirmed: np.ndarray) -> np.ndarray:
+        """For each word, whether a confirmed window (a flag for each start) covers it.
 
-        The automaton has the anchor phrases of confirmed windows, as sequences of word numbers; all texts
-        stream through it, and each window around an occurrence is looked up among the confirmed."""
+        The automaton has the anchor phrases of confirmed windows as sequences of word numbers. All texts
+        stream through it; each window around an occurrence is looked up among the confirmed. (Phrases
+        that run from one text into the next are inside no valid window.)"""
         covered = np.zeros(len(self.word) + 1, np.int64)
-        sure = starts[confirmed[which]] if len(starts) else starts
-        if not len(sure):
+        if not confirmed.any():
             return covered[:-1] > 0
-        marked = np.zeros(len(self.word), bool)
-        marked[sure] = True
-        phrase = _run(self.first, PHRASE)
+        stream = self.word.tolist()
         automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for p in self._places(phrase, marked).tolist():
-            automaton.add_word(tuple(self.word[p : p + PHRASE].tolist()))
+        for p in self._places(confirmed).tolist():
+            automaton.add_word(tuple(stream[p : p + PHRASE]))
         automaton.make_automaton()
         hit = np.zeros(len(self.word) + WINDOW + 1, np.int64)
-        for begin, end in zip((self.ends - self.counts).tolist(), self.ends.tolist(), strict=True):
-            if end - begin >= WINDOW:
-                found = [e for e, _ in automaton.iter(tuple(self.word[begin:end].tolist()))]
-                hit[begin + np.array(found, np.int64) - PHRASE + 1] = 1
+        hit[np.fromiter((end for end, _ in automaton.iter(tuple(stream))), np.int64) - PHRASE + 1] = 1
         total = np.cumsum(np.append(0, hit))
-        reached = np.flatnonzero(self.valid & (total[WINDOW - PHRASE + 1 :][: len(self.word)] > total[: len(self.word)]))
-        a, b = _run(self.first, WINDOW)[reached], _run(self._hashes(2), WINDOW)[reached]
-        kept = np.zeros(int(confirmed.sum()), [("a", "<u8"), ("b", "<u8")])
-        kept["a"], kept["b"] = self._known[0][confirmed], self._known[1][confirmed]
-        at = np.searchsorted(kept["a"], a)
-        inside = at < len(kept)
-        inside[inside] = kept["a"][at[inside]] == a[inside]
-        # equal first halves stand together; nearly always there is one
-        for i in np.flatnonzero(inside).tolist() if len(np.unique(kept["a"])) < len(kept) else []:
-            inside[i] = bool((kept["b"][kept["a"] == a[i]] == b[i]).any())
-        if len(np.unique(kept["a"])) == len(kept):
-            inside[inside] = kept["b"][at[inside]] == b[inside]
-        np.add.at(covered, reached[inside], 1)
-        np.add.at(covered, reached[inside] + WINDOW, -1)
+        around = self.valid & (total[WINDOW - PHRASE + 1 :][: len(self.word)] > total[: len(self.word)])
+        found = np.flatnonzero(around & confirmed)
+        covered[found] += 1
+        covered[found + WINDOW] -= 1
         return np.cumsum(covered)[:-1] > 0
 
     def decide(self, anchor_bits: np.ndarray | None, window_bits: np.ndarray | None) -> np.ndarray:
         """For each word, whether it goes, by the buckets' answers."""
         values, _ = self.anchors()
         starts = self.candidates(values, anchor_bits if anchor_bits is not None else np.zeros(len(values), bool))
-        a, b, _, which = self.windows(starts)
-        self._known = (a, b)
-        return self.locate(starts, which, window_bits if window_bits is not None else np.zeros(len(a), bool))
+        *_, which = self.windows(starts)
+        confirmed = np.zeros(len(self.word), bool)
+        if window_bits is not None:
+            confirmed[starts] = window_bits[which]
+        return self.locate(confirmed)
 
 
 def _blocks(batches):
@@ -257,12 +242,12 @@ def remove_recurring(docs: DataFrame) -> DataFrame:
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         own, row = opened(left)
         gone = own.decide(_bits(right, 1, row["check"]), _bits(right, 2, row["check"]))
-        kept, removed = [], []
-        for begin, end in zip((own.ends - own.counts).tolist(), own.ends.tolist(), strict=True):
-            part = gone[begin:end]
-            removed.append(int(part.sum()))
-            kept.append(b" ".join([own.words[i] for i in own.word[begin:end][~part].tolist()]).decode("utf-8", "surrogatepass"))
-        return pa.table({"doc_id": pa.array(row["doc_ids"], left.schema.field("doc_ids").type.value_type), "n_words": pa.array(own.counts), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+        so_far = np.cumsum(np.append(0, ~gone))
+        stay, get = own.word[~gone].tolist(), own.words.__getitem__
+        begins, ends = so_far[own.ends - own.counts], so_far[own.ends]
+        removed = own.counts - (ends - begins)
+        kept = [b" ".join(map(get, stay[b:e])).decode("utf-8", "surrogatepass") for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
+        return pa.table({"doc_id": pa.array(row["doc_ids"], left.schema.field("doc_ids").type.value_type), "n_words": pa.array(own.counts), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.string())})
 
     def answered(rows: DataFrame, kind: int) -> DataFrame:
         return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, told).withColumn("kind", F.lit(kind))
