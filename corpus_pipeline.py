@@ -16,7 +16,7 @@ from tallyloom.llm.exact_dedup import drop_exact_duplicates
 from tallyloom.llm.near_dedup import drop_near_duplicates
 from tallyloom.llm.packing import pack_binary
 from tallyloom.llm.secrets import redact_secrets
-from tallyloom.llm.toxicity import fit_toxicity, learnable, score_toxicity
+from tallyloom.llm.toxicity import drop_toxic, fit_toxicity, learnable
 from tallyloom.session import share_path
 
 
@@ -25,10 +25,10 @@ def _anywhere(stage):
     return wraps(stage)(lambda spark, docs, sf_dir: stage(share_path(spark), docs, sf_dir))
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic, learnt from the labels that are not held out."""
     model = fit_toxicity(docs.select("doc_id", "text"), learnable(read(spark, sf_dir, "labels", "doc_id", "toxic")))
-    return score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    return drop_toxic(docs, model)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_binary(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [(name, _anywhere(stage)) for name, stage in (("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("secrets", mask_secrets), ("packing", pack))]
+STAGES = [(name, _anywhere(stage)) for name, stage in (("toxicity", reject_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("secrets", mask_secrets), ("packing", pack))]
 
 #: Models, signatures and automata are beyond SQL; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None

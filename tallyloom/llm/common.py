@@ -40,13 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
-def prefilter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Drop most rows of df whose key is not among wanted's (one column), without shuffling df.
+def _marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """df with _hit: whether key may be among wanted's (one column); never false for one that is.
 
-    wanted is folded into a bitmap of 2**BITMAP_LOG2 bits. Its size does not depend on the data, so
-    it can always be broadcast. All rows with wanted keys stay; others may stay as well, so an exact
-    join has to follow. Null keys are dropped.
-    """
+    wanted is folded into a bitmap of 2**BITMAP_LOG2 bits. Its size does not depend on the data, so it
+    can always be broadcast, and df is not shuffled. Null keys miss."""
     (name,) = wanted.columns
     spot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - BITMAP_LOG2)
     words = (
@@ -55,9 +53,31 @@ def prefilter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         .groupBy(F.shiftright("_spot", 6).alias("_word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_bits"))
     )
-    marked = df.where(F.col(key).isNotNull()).withColumn("_spot", spot(F.col(key))).withColumn("_word", F.shiftright("_spot", 6))
-    hit = F.expr("(shiftrightunsigned(_bits, cast(_spot & 63 as int)) & 1L) = 1L")
-    return marked.join(F.broadcast(words), "_word").where(hit).select(*df.columns)
+    bit = F.expr("(shiftrightunsigned(_bits, cast(_spot & 63 as int)) & 1L) = 1L")
+    placed = df.withColumn("_spot", spot(F.col(key))).withColumn("_word", F.shiftright("_spot", 6))
+    return placed.join(F.broadcast(words), "_word", "left").withColumn("_hit", F.coalesce(bit & F.col(key).isNotNull(), F.lit(False))).select(*df.columns, "_hit")
+
+
+def prefilter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Drop most rows of df whose key is not among wanted's (one column), without shuffling df.
+
+    All rows with wanted keys stay; others may stay as well, so an exact join has to follow. Null keys
+    are dropped.
+    """
+    return _marked(df, key, wanted).where("_hit").drop("_hit")
+
+
+def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose monotonically_increasing_id is in gone (one column); all columns stay,
+    whatever their names.
+
+    Rows that the bitmap clears stay where they are; only the others are joined with gone."""
+    (name,) = gone.columns
+    numbered = docs.select(F.struct("*").alias("row")).withColumn("_at", F.monotonically_increasing_id())
+    marked = _marked(numbered, "_at", gone)
+    unsure = marked.where("_hit")
+    kept = unsure.join(gone, unsure["_at"] == gone[name], "left_anti")
+    return marked.where("not _hit").unionByName(kept).select("row.*")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most_chars: int = 4_000_000, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:

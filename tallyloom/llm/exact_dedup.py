@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import quotient
-from tallyloom.llm.common import prefilter, read
+from tallyloom.llm.common import drop_rows, prefilter, read
 
 #: The filters are cut into 2**BLOCK_BITS ranges of fingerprints that are merged apart from each other.
 BLOCK_BITS = 12
@@ -81,9 +81,7 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row keeps; all columns stay as they are."""
-    gone = exact_duplicates(docs).where("not kept").select(F.col("_row").alias("_gone"))
-    numbered = docs.withColumn("_at", F.monotonically_increasing_id())
-    return numbered.join(gone, F.col("_at") == F.col("_gone"), "left_anti").drop("_at")
+    return drop_rows(docs, exact_duplicates(docs).where("not kept").select("_row"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm.common import pieces, read, texts_of
 
@@ -173,8 +174,10 @@ def fit_language_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """docs with lang_pred and score; a map over whole texts.
 
-    Null texts and texts without a letter are 'und' with score 0. Every row is judged by itself; other
-    columns stay, and an empty table gives an empty result. The model has a fixed size."""
+    Null texts and texts without a letter are 'und' with score 0. Every row is judged by itself; columns
+    of these two names are replaced, others stay; an empty table gives an empty result. The model has a
+    fixed size."""
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -182,8 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             langs, scores = shared.value.predict(texts_of(batch))
             yield batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(scores, pa.float64()))
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{names}, lang_pred string, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

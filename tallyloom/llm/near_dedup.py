@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import dart_minhash as darts
-from tallyloom.llm.common import cut, pieces, prefilter, read, texts_of
+from tallyloom.llm.common import cut, drop_rows, pieces, prefilter, read, texts_of
 
 SIMILARITY = 0.8
 #: Rows and cells of what is left of a bucket that one task may settle by itself.
@@ -188,9 +188,7 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class; all columns stay. docs must give the same rows in the same
     partitions each time it is read, as tables do."""
-    gone = near_duplicates(docs, threshold).where("not kept").select(F.col("_row").alias("_gone"))
-    numbered = docs.withColumn("_at", F.monotonically_increasing_id())
-    return numbered.join(gone, F.col("_at") == F.col("_gone"), "left_anti").drop("_at")
+    return drop_rows(docs, near_duplicates(docs, threshold).where("not kept").select("_row"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm.common import pieces, read, texts_of
 
@@ -205,9 +206,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """docs with score, predicted (1 from THRESHOLD on) and neighbours (doc_id, similarity, toxic).
 
     A map over whole texts; equal texts get equal scores. Null and empty texts have no terms and get the
-    rate of such texts. Rows are judged by text alone; other columns stay; an empty table gives an empty
-    result. The model's size is bounded by the sample.
+    rate of such texts. Rows are judged by text alone; columns of these three names are replaced, others
+    stay; an empty table gives an empty result. The model's size is bounded by the sample.
     """
+    docs = docs.drop("score", "predicted", "neighbours")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     near = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
@@ -219,8 +221,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
             scores = [s for s, _ in got]
             yield batch.append_column("score", pa.array(scores, pa.float64())).append_column("predicted", pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())).append_column("neighbours", pa.array(evidence, near))
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{names}, score double, predicted int, neighbours array<struct<doc_id:bigint,similarity:double,toxic:int>>")
+    out = T.StructType([*docs.schema.fields, *T._parse_datatype_string("score double, predicted int, neighbours array<struct<doc_id:bigint,similarity:double,toxic:int>>").fields])
+    return docs.mapInArrow(run, out)
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """docs without the rows that are predicted toxic; all columns stay, whatever their names."""
+    return score_toxicity(docs.select(F.struct("*").alias("row"), "text"), model).where("predicted = 0").select("row.*")
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import os
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tallyloom.llm import common as C
 
@@ -13,6 +14,14 @@ def test_prefilter_keeps_all_wanted(spark):
     assert C.prefilter(df, "k", wanted.limit(0)).count() == 0
 
 
+def test_drop_rows(spark):
+    docs = spark.range(1000, numPartitions=3).selectExpr("id AS doc_id", "cast(id as string) AS _bits")
+    ids = {r.doc_id: r.at for r in docs.withColumn("at", F.monotonically_increasing_id()).collect()}
+    gone = spark.createDataFrame([(ids[i],) for i in range(0, 1000, 7)], "gone bigint")
+    kept = C.drop_rows(docs, gone)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(1000) if i % 7]
+
+
 def test_cut_keeps_rows_and_types(spark):
     df = spark.createDataFrame([(1, [1, 2], b"x"), (None, None, None)], "a bigint, b array<int>, c binary")
     got = C.cut(df)

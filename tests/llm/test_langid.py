@@ -48,7 +48,7 @@ def test_held_out_accuracy(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None, "en", 1), (2, "", "en", 1), (3, "12 !?", None, 1), (None, "the house", "en", 1), (5, "das haus " * 20_000, "de", 1), (6, "the house", "en", 1), (6, "the house", "en", 1)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, feature int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int")
     model = L.fit_language_model(docs.selectExpr("text", "lang", "doc_id AS key"))
     got = sorted((r.doc_id or 0, r.lang_pred, 0 <= r.score <= 1) for r in L.identify(docs, model).collect())
     assert got == [(0, "en", True), (1, "und", True), (2, "und", True), (3, "und", True), (5, "de", True), (6, "en", True), (6, "en", True)]

@@ -38,12 +38,14 @@ def test_held_out(spark):
 def test_odd_rows(spark):
     rows = [(i, f"text{i} idiot scum" if i % 4 == 0 else f"text{i} nice house", 3) for i in range(80)]
     rows += [(100, None, 3), (101, "", 3), (None, "idiot scum", 3), (102, "nice " * 50_000, 3), (102, "x IDIOT scum", 3), (102, "x IDIOT scum", 3)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(100, 1), (101, None), (None, 1)], "doc_id bigint, toxic int")
     model = T.fit_toxicity(docs.select("doc_id", "text"), labels)
     got = T.score_toxicity(docs, model).collect()
     assert len(got) == len(rows)
     assert {(r.doc_id, r.predicted) for r in got if r.doc_id is None or r.doc_id > 99} == {(100, 0), (101, 0), (None, 1), (102, 0), (102, 1)}
     assert all(n.toxic == 1 for r in got if r.doc_id is None for n in r.neighbours)
+    clean = T.drop_toxic(docs, model)
+    assert clean.columns == docs.columns and {r.score for r in clean.collect()} == {3} and clean.count() == sum(r.predicted == 0 for r in got)
     blank = T.fit_toxicity(docs.limit(0).select("doc_id", "text"), labels.limit(0))
     assert {r.score for r in T.score_toxicity(docs, blank).collect()} == {0.0} and T.score_toxicity(docs.limit(0), model).count() == 0
