@@ -30,8 +30,8 @@ def repeated_fingerprints(fingerprints: DataFrame, block_bits: int = BLOCK_BITS)
         values = [b.column(0).drop_null().to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
         values, counts = np.unique(np.concatenate(values), return_counts=True) if values else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         block = (values >> np.uint64(bits)).astype(np.int64)
-        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
-        rows = [(int(block[s]), quotient.encode(values[s:e] & np.uint64((1 << bits) - 1), counts[s:e], bits)) for s, e in zip(starts, [*starts[1:], len(block)], strict=True)]
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else np.zeros(0, np.int64)
+        rows = [(int(block[s]), quotient.encode(values[s:e] & np.uint64((1 << bits) - 1), counts[s:e], bits)) for s, e in zip(starts, np.append(starts, len(block))[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["block", "filter"])
 
     def combine(batches):

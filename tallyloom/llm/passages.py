@@ -162,7 +162,7 @@ def _sent(block: int, check: int, values: np.ndarray, more: np.ndarray, twice: n
     """Rows for the buckets: ranges of the sorted values (with second halves, if any) and their flags."""
     bucket = ((values >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
     starts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
-    rows = [(int(bucket[s]), values[s:e].tobytes(), more[s:e].tobytes(), np.packbits(twice[s:e]).tobytes()) for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True)]
+    rows = [(int(bucket[s]), values[s:e].tobytes(), more[s:e].tobytes(), np.packbits(twice[s:e]).tobytes()) for s, e in zip(starts.tolist(), np.append(starts, len(bucket))[1:].tolist(), strict=True)]
     n = len(rows)
     return pa.RecordBatch.from_pydict({"block": pa.array([block] * n, pa.int64()), "check": pa.array([check] * n, pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), **{name: pa.array([r[j] for r in rows], pa.binary()) for j, name in ((1, "values"), (2, "more"), (3, "twice"))}})
 

@@ -73,3 +73,32 @@ def test_run_is_the_stages(spark, sf_dir):
     got = C.run(spark, sf_dir)
     assert got.columns == ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"] and got.count() > 0
     assert len({hashlib.sha256(bytes(r.ids)).hexdigest() for r in got.where("length > 64").collect()}) > 10
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.01"
+    long = "word " * 40_000
+    rows = [
+        (1, None, "en", None, None, 1, "a"), (2, "", None, "s", 0, 2, "b"), (None, "some words here to keep", "en", "s", 23, 3, "c"), (None, None, None, None, None, None, None),
+        (5, long, "en", "s", len(long), 5, "e"), (6, long + "more", "en", "s", 0, 6, "f"), (7, "token=abcdefgh1 stays", "en", "s", 21, 7, "g"), (7, "token=abcdefgh1 stays", "en", "s", 21, 7, "g"),
+        (8, "one two three four five six", "en", "s", 27, 8, "h"), (9, "One two three four five six!", "en", "s", 28, 9, "i"),
+    ]
+    names = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, _at string"
+    for k, docs in enumerate((spark.createDataFrame(rows, names), spark.createDataFrame(rows, names).limit(0))):
+        docs.write.parquet(f"{tmp_path}/{k}/start")
+        now = spark.read.parquet(f"{tmp_path}/{k}/start")
+        kept = {}
+        for name, stage in C.STAGES:
+            stage(spark, now, sf_dir).write.parquet(f"{tmp_path}/{k}/{name}")
+            now = spark.read.parquet(f"{tmp_path}/{k}/{name}")
+            kept[name] = now.collect()
+            assert name == "packing" or now.columns == docs.columns
+        if k:
+            assert not any(kept.values())
+            continue
+        assert len(kept["toxicity"]) == 10
+        # 1, 2 and the null row hold equal (empty) texts: the largest id stays; 7 stays once
+        assert sorted(str(r.doc_id) for r in kept["exact_dedup"]) == ["2", "5", "6", "7", "8", "9", "None"]
+        assert sorted(str(r.doc_id) for r in kept["near_dedup"]) == ["2", "5", "7", "8", "None"]
+        assert [(r.text, r.n_chars) for r in kept["secrets"] if r.doc_id == 7] == [("[assign] stays", 14)]
+        assert sum(r.length for r in kept["packing"] if r.doc_id == 2) == 1
