@@ -7,6 +7,7 @@ import re
 from array import array
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,13 @@ from tallyloom.llm.common import pieces, read, texts_of
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]|<\\|")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9a-z²³¹¼½¾ªµºß-öø-ÿ]+")
 #: Words whose ids a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 500_000
+
+
+def _splittable(text: str) -> bool:
+    if text.isascii():
+        return not ("<|" in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text)
+    return not _OTHER.search(text)
 
 
 class WordEncoder:
@@ -52,15 +59,16 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids, as little-endian unsigned 32-bit integers."""
-        words = [None if _OTHER.search(x) else _WORDS.findall(x.lower()) for x in texts]
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        new = list(set(chain.from_iterable(filter(None, words))).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            self.known.update(zip(new[at : at + 10_000], self._ask_words(new[at : at + 10_000]), strict=True))
+        words = [_WORDS.findall(x.lower()) if _splittable(x) else None for x in texts]
+        used = set(chain.from_iterable(filter(None, words)))
+        if len(self.known) > _REMEMBERED:  # words that come up again are kept
+            self.known = {w: self.known[w] for w in used.intersection(self.known)}
+        new = list(used.difference(self.known))
+        for at in range(0, len(new), 50_000):
+            self.known.update(zip(new[at : at + 50_000], self._ask_words(new[at : at + 50_000]), strict=True))
         rest = iter(self._ask([x for x, own in zip(texts, words, strict=True) if own is None]))
-        get = self.known.__getitem__
-        return [next(rest) if own is None else b"".join(map(get, own)) for own in words]
+        known, get = self.known, self.known.__getitem__
+        return [next(rest) if own is None else b"".join(itemgetter(*own)(known) if len(own) > 1 else map(get, own)) for own in words]
 
 
 @lru_cache(maxsize=2)
