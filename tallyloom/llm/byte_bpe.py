@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import pack_strings, pieces, read, texts_of, unpack_strings
+from tallyloom.llm.common import lean, lean_pair, pack_strings, pieces, read, texts_of, unpack_strings
 
 #: Bytes of text in a block, and buckets of distinct words. A bucket's words have to fit one worker.
 BLOCK_BYTES, BUCKETS = 6_000_000, 512
@@ -169,10 +169,10 @@ def encode_corpus(docs: DataFrame, ranks: str, buckets: int = BUCKETS) -> DataFr
             n.append(len(out[-1]) // 4)
         return pa.table({"doc_id": pa.array(kept["doc_ids"], left.schema.field("doc_ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(out, pa.binary()), "decoded": pa.array(text, pa.binary())})
 
-    asked = docs.mapInArrow(words, "block bigint, check bigint, bucket int, words binary")
-    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "block bigint, check bigint, bucket int, ids binary")
-    placed = docs.mapInArrow(positions, f"block bigint, check bigint, doc_ids array<{kind}>, buckets binary, index binary")
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rebuild, f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+    asked = docs.mapInArrow(lean(words), "block bigint, check bigint, bucket int, words binary")
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(answer), "block bigint, check bigint, bucket int, ids binary")
+    placed = docs.mapInArrow(lean(positions), f"block bigint, check bigint, doc_ids array<{kind}>, buckets binary, index binary")
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_pair(rebuild), f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

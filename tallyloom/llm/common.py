@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import struct
 import tempfile
 import uuid
@@ -18,6 +19,39 @@ from pyspark.sql import functions as F
 BITMAP_LOG2 = 24
 
 
+def _release() -> None:
+    """Give memory that a task no longer needs back to the machine; workers live on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it likes
+        pass
+
+
+def lean(run):
+    """A function over Arrow batches that releases memory when its partition is done."""
+
+    def kept(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return kept
+
+
+def lean_pair(run):
+    """The same for a function of two cogrouped tables."""
+
+    def kept(left, right):
+        try:
+            return run(left, right)
+        finally:
+            _release()
+
+    return kept
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """The named columns of one Parquet table; Spark alone touches the path, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)

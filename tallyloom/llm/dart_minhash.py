@@ -22,7 +22,7 @@ DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
 
 _words = re.compile(r"\w+").findall
 _hashes: dict[str, int] = {}
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import quotient
-from tallyloom.llm.common import drop_rows, prefilter, read
+from tallyloom.llm.common import drop_rows, lean, prefilter, read
 
 #: The filters are cut into 2**BLOCK_BITS ranges of fingerprints that are merged apart from each other.
 BLOCK_BITS = 12
@@ -42,8 +42,8 @@ def repeated_fingerprints(fingerprints: DataFrame, block_bits: int = BLOCK_BITS)
             fps = (values[more] | (np.uint64(block) << np.uint64(bits))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(counts[more].astype(np.int64))], ["fp", "count"])
 
-    filters = fingerprints.select(name).mapInArrow(build, "block bigint, filter binary")
-    return filters.repartition("block").sortWithinPartitions("block").mapInArrow(combine, "fp bigint, count bigint")
+    filters = fingerprints.select(name).mapInArrow(lean(build), "block bigint, filter binary")
+    return filters.repartition("block").sortWithinPartitions("block").mapInArrow(lean(combine), "fp bigint, count bigint")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

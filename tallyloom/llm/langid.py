@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import pieces, read, texts_of
+from tallyloom.llm.common import lean, pieces, read, texts_of
 
 #: Hashed n-grams of 1 to GRAMS characters: 2**HASH_BITS features.
 HASH_BITS, GRAMS = 14, 3
@@ -132,7 +132,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["feature", "n"])
 
     out = np.zeros(size + 1, np.int64)
-    for r in docs.select("text").mapInArrow(count, "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(lean(count), "feature int, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         out[r.feature] = r.n
     return out[:size], int(out[size])
 
@@ -160,7 +160,7 @@ def fit_language_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_
             at = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("lang"), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([r[a].astype("<f2").tobytes() for r, a in zip(x, at, strict=True)], pa.binary())], ["key", "lang", "at", "value"])
 
-    rows = some.mapInArrow(features, "key bigint, lang string, at binary, value binary").collect()
+    rows = some.mapInArrow(lean(features), "key bigint, lang string, at binary, value binary").collect()
     rows.sort(key=lambda r: (r.key, r.lang, r["at"]))
     x, y = np.zeros((len(rows), len(idf) + 1), np.float32), np.array([langs.index(r.lang) for r in rows])
     for i, r in enumerate(rows):
@@ -185,7 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             langs, scores = shared.value.predict(texts_of(batch))
             yield batch.append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(scores, pa.float64()))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import read
+from tallyloom.llm.common import lean, read
 
 #: Rows of a leaf page and children of an inner page; rows of a shard.
 PAGE, FANOUT, SHARD_ROWS = 512, 16, 25_000
@@ -150,7 +150,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_R
                 yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out[at : at + 10_000]], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
 
     both = dealt.unionByName(asked).withColumn("dim", F.size("vector"))
-    found = both.repartition("shard").sortWithinPartitions("shard", "dim", "asks").mapInArrow(search, "query_id bigint, vec_id bigint, score bigint")
+    found = both.repartition("shard").sortWithinPartitions("shard", "dim", "asks").mapInArrow(lean(search), "query_id bigint, vec_id bigint, score bigint")
     # the limit on the rank reaches below the shuffle: a task sends k rows of a query at most
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import dart_minhash as darts
-from tallyloom.llm.common import cut, drop_rows, pieces, prefilter, read, texts_of
+from tallyloom.llm.common import cut, drop_rows, lean, pieces, prefilter, read, texts_of
 
 SIMILARITY = 0.8
 #: Rows and cells of what is left of a bucket that one task may settle by itself.
@@ -31,7 +31,7 @@ def _sign(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_row bigint, doc_id {kind}, text_hash bigint, fp1 bigint, fp2 bigint, size bigint, bands array<bigint>")
+    return rows.mapInArrow(lean(run), f"_row bigint, doc_id {kind}, text_hash bigint, fp1 bigint, fp2 bigint, size bigint, bands array<bigint>")
 
 
 def _cells_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -44,7 +44,7 @@ def _cells_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(parts, pa.binary())], ["text_hash", "cells"])
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    return prefilter(texts, "text_hash", wanted).groupBy("text_hash").agg(F.first("text").alias("text")).mapInArrow(run, "text_hash bigint, cells binary")
+    return prefilter(texts, "text_hash", wanted).groupBy("text_hash").agg(F.first("text").alias("text")).mapInArrow(lean(run), "text_hash bigint, cells binary")
 
 
 def _measure(pairs: DataFrame, cells: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def _measure(pairs: DataFrame, cells: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
     one = lambda x: cells.select(F.col("text_hash").alias(f"{x}_hash"), F.col("cells").alias(f"{x}_cells"))
-    return pairs.join(one("a"), "a_hash").join(one("b"), "b_hash").select("a", "a_cells", "b", "b_cells").mapInArrow(run, "a bigint, b bigint, sim double")
+    return pairs.join(one("a"), "a_hash").join(one("b"), "b_hash").select("a", "a_cells", "b", "b_cells").mapInArrow(lean(run), "a bigint, b bigint, sim double")
 
 
 def _settle(group: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:

@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import pieces, read, texts_of
+from tallyloom.llm.common import lean, pieces, read, texts_of
 
 #: Texts of these characters alone are split into words here; for any other, the library splits them.
 #: In this range all Unicode versions agree on letters, digits, space and case. "<|" may begin a special token.
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]|<\\|")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9a-z²³¹¼½¾ªµºß-öø-ÿ]+")
 #: Words whose ids a worker remembers.
-_REMEMBERED = 500_000
+_REMEMBERED = 300_000
 
 
 def _splittable(text: str) -> bool:
@@ -112,7 +112,7 @@ def pack_binary(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int =
                     at += n
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary()), pa.array(tokens, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    made = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint")
+    made = docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint")
     return made.withColumns({"bucket": F.round(F.log2("length")).cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
 
 

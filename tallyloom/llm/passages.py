@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import cut, pack_strings, pieces, read, texts_of, unpack_strings
+from tallyloom.llm.common import cut, lean, lean_pair, pack_strings, pieces, read, texts_of, unpack_strings
 from tallyloom.llm.dart_minhash import mix
 
 #: Words of a window and of the phrases whose least hash is its anchor; bytes of a block; bytes of corpus for each bucket.
@@ -250,13 +250,13 @@ def remove_recurring(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": pa.array(row["doc_ids"], left.schema.field("doc_ids").type.value_type), "n_words": pa.array(own.counts), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.string())})
 
     def answered(rows: DataFrame, kind: int) -> DataFrame:
-        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_answer, told).withColumn("kind", F.lit(kind))
+        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_answer), told).withColumn("kind", F.lit(kind))
 
-    blocks = docs.mapInArrow(store, f"block bigint, check bigint, doc_ids array<{kind}>, texts binary")
-    first = cut(answered(docs.mapInArrow(anchors, sent), 1))  # a few bits for each anchor
-    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(windows, sent)
+    blocks = docs.mapInArrow(lean(store), f"block bigint, check bigint, doc_ids array<{kind}>, texts binary")
+    first = cut(answered(docs.mapInArrow(lean(anchors), sent), 1))  # a few bits for each anchor
+    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lean_pair(windows), sent)
     both = first.unionByName(answered(second, 2))
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lean_pair(remove), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

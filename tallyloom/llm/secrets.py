@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.automaton import Rule, Scanner
-from tallyloom.llm.common import pieces, read, texts_of
+from tallyloom.llm.common import lean, pieces, read, texts_of
 
 #: The kinds that every report counts. {32}: matches of hex are maximal runs, so asking for the least
 #: length at once is the same as dropping shorter ones.
@@ -64,7 +64,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
                 ["doc_id", "secrets"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, secrets array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, secrets array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -85,7 +85,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
                 out.append("".join([*kept, text[at:]]) if spans else raw)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, pa.string()))
 
-    done = docs.mapInArrow(run, docs.schema)
+    done = docs.mapInArrow(lean(run), docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
@@ -104,7 +104,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     found = find_secrets(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return found.mapInArrow(digest, "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return found.mapInArrow(lean(digest), "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
 def _oracle() -> str:

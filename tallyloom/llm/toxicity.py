@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import pieces, read, texts_of
+from tallyloom.llm.common import lean, pieces, read, texts_of
 
 #: Bounds of the labelled sample (rows of label 1 and of label 0), and of the terms that vectors have.
 SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_TERMS = 6_000, 12_000, 256
@@ -119,7 +119,7 @@ class ToxicityModel:
     def judge(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
         """Calibrated score and the neighbours that it rests on."""
         at, w = self.vector(text)
-        if self.known is None or len(self.known) > 20_000:
+        if self.known is None or len(self.known) > 4_000:
             self.known = {}
         key = (at.tobytes(), w.tobytes())
         if key not in self.known:
@@ -156,7 +156,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TO
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     a, b = F.col("toxic"), F.col("clean")
     chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.lit(float(max(n1, 1)) * max(n0, 1)) * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1)))
-    counted = sample.mapInArrow(count_terms, "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counted = sample.mapInArrow(lean(count_terms), "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     chosen = counted.where((a >= MIN_ROWS) & (a * n0 > b * n1)).select("term", chi2.cast("double").alias("chi2")).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms)
     terms = {r.term: i for i, r in enumerate(chosen.collect())}
 
@@ -171,7 +171,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TO
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)).astype(np.int32)), pa.array(df)], ["term", "df"])
 
     df = np.zeros(len(terms) + 1)
-    for r in docs.select("text").mapInArrow(frequencies, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in docs.select("text").mapInArrow(lean(frequencies), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
         df[r.term] = r.df
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
     model = ToxicityModel(terms, idf, BlockMaxIndex(np.zeros((0, len(terms))), np.zeros(0, np.int64)), np.zeros(0), np.zeros(0), 0.0)
@@ -181,7 +181,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TO
             got = [model.vector(x) for x in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([t.tolist() for t, _ in got], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
 
-    rows = sorted(sample.mapInArrow(vectors, "doc_id bigint, toxic int, terms array<int>, weights array<double>").collect(), key=lambda r: (r.doc_id, r.terms, r.weights))
+    rows = sorted(sample.mapInArrow(lean(vectors), "doc_id bigint, toxic int, terms array<int>, weights array<double>").collect(), key=lambda r: (r.doc_id, r.terms, r.weights))
     weight = {k: total.get(k, 0) / max(sizes.get(k, 0), 1) if total.get(k, 0) > most[k] else 1.0 for k in (0, 1)}
     base = [(weight[r.toxic], r.toxic) for r in rows if not r.terms]
     # as if one more text of the common rate had been seen
@@ -215,14 +215,16 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches):
         own = shared.value
+        own.known = None
         for batch in pieces(batches, "text"):
             got = [own.judge(x) for x in texts_of(batch)]
             evidence = [[{"doc_id": i, "similarity": s, "toxic": int(own.labels[r])} for s, i, r in found] for _, found in got]
             scores = [s for s, _ in got]
             yield batch.append_column("score", pa.array(scores, pa.float64())).append_column("predicted", pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())).append_column("neighbours", pa.array(evidence, near))
+        own.known = None
 
     out = T.StructType([*docs.schema.fields, *T._parse_datatype_string("score double, predicted int, neighbours array<struct<doc_id:bigint,similarity:double,toxic:int>>").fields])
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
