@@ -21,7 +21,7 @@ from tallyloom.llm.common import lean, pieces, read, texts_of
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]|<\\|")
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\s0-9a-z²³¹¼½¾ªµºß-öø-ÿ]+")
 #: Words whose ids a worker remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 400_000
 
 
 def _splittable(text: str) -> bool:
