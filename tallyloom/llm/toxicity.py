@@ -8,20 +8,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.llm.common import lean, pieces, read, texts_of
 
-#: Bounds of the labelled sample (rows of label 1 and of label 0), and of the terms that vectors have.
-SAMPLE_TOXIC, SAMPLE_CLEAN, MAX_TERMS = 6_000, 12_000, 256
+#: Bounds of the labelled sample: rows of label 1 and of label 0.
+SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
 #: Of the sample, rows that scores are calibrated on.
 CALIBRATION_ROWS = 3_000
-#: A term is used if label 1 has it in as many sampled rows and its chi-square is as large
-#: (about one chance in 10^7, as some 10^6 terms are tried).
-MIN_ROWS, MIN_CHI2 = 5, 28.0
 NEIGHBOURS, THRESHOLD, BLOCK = 15, 0.3, 32
+#: Terms in one of so many rows or more are kept as dense rows; texts that are searched for at once.
+COMMON, TOGETHER = 16, 64
 
 _words = re.compile(r"\w+").findall
 
@@ -30,50 +30,102 @@ def terms_of(text: str) -> list[str]:
     return _words(text.lower())
 
 
+def hashed_terms(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The text's distinct terms as sorted hashes of 64 bits, and how often each occurs."""
+    counts = Counter(terms_of(text))
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in counts), np.uint64, len(counts))
+    order = np.argsort(h)
+    return h[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+
+
+def _slices(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All positions of slices, one slice after the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors by term in blocks of rows, with the largest weight of a term in a block.
+    """Postings of unit vectors by term; rows are in blocks.
 
-    A term's postings in a block are one dense row of the pool; where a block lacks the term, row 0."""
+    A common term (one of COMMON rows has it) is a dense row of weights with the largest weight of each
+    block. Postings of the others are added up as they are."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> None:
-        order = np.lexsort((ids, *vectors.T, vectors.argmax(axis=1) if vectors.size else np.zeros(len(ids))))  # like beside like
-        n, terms = vectors.shape
-        blocks = -(-n // block)
-        padded = np.zeros((blocks * block, terms))
-        padded[:n] = vectors[order]
-        cut = padded.reshape(blocks, block, terms).transpose(2, 0, 1)
-        self.ids, self.order, self.block = ids[order], order, block
-        self.most = cut.max(axis=2) if blocks else np.zeros((terms, 0))
-        there = self.most > 0
-        self.where = np.where(there, np.cumsum(there.ravel()).reshape(there.shape), 0).astype(np.int32)
-        self.pool = np.concatenate([np.zeros((1, block)), cut[there]])
+        row, term = np.nonzero(vectors)
+        self._load(row, term, vectors[row, term], vectors.shape[1], ids, block)
+
+    @classmethod
+    def of(cls, row: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int, ids: np.ndarray, block: int = BLOCK) -> BlockMaxIndex:
+        """From the non-zero components."""
+        own = cls.__new__(cls)
+        own._load(row, term, weight, terms, ids, block)
+        return own
+
+    def _load(self, row, term, weight, terms, ids, block) -> None:
+        n = len(ids)
+        top = np.zeros(n, np.int64)
+        by_weight = np.argsort(weight, kind="stable")
+        top[row[by_weight]] = term[by_weight]  # each row's heaviest term: like beside like
+        self.order = np.lexsort((ids, top))
+        self.ids, self.block, self.blocks = ids[self.order], block, -(-n // block)
+        place = np.empty(n, np.int32)
+        place[self.order] = np.arange(n)
+        rows = np.bincount(term, minlength=terms)
+        common = np.flatnonzero(rows * COMMON >= max(n, 1))
+        self.slot = np.full(terms, -1, np.int32)
+        self.slot[common] = np.arange(len(common))
+        dense = self.slot[term] >= 0
+        self.dense = np.zeros((len(common), self.blocks * block))
+        self.dense[self.slot[term[dense]], place[row[dense]]] = weight[dense]
+        self.most = self.dense.reshape(len(common), self.blocks, block).max(axis=2) if n else np.zeros((len(common), 0))
+        rest = np.flatnonzero(~dense)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        self.rows, self.weights = place[row[rest]], weight[rest].astype(np.float64)
+        self.starts = np.append(0, np.cumsum(np.where(self.slot >= 0, 0, rows))).astype(np.int32)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> list[tuple[float, int, int]]:
-        """The k best (similarity, id, row as given), best first, ties to smaller ids; all if fewer match.
-
-        Blocks are visited by falling upper bound, a few at a time, up to the first that can't reach the
-        k-th best."""
-        bounds = weights @ self.most[terms]
-        visit = np.argsort(-bounds, kind="stable")
-        visit = visit[: np.count_nonzero(bounds > 0)]
-        at, step, least = 0, 16, 0.0
-        scores, rows = np.zeros(0), np.zeros(0, np.int64)
-        while at < len(visit) and (len(rows) < k or bounds[visit[at]] >= least - 1e-9):
-            part = visit[at : at + step]
-            score = np.tensordot(weights, self.pool[self.where[terms][:, part]], axes=1).ravel()
-            found = np.flatnonzero(score > max(least - 1e-9, 0.0))
-            own = part[found // self.block] * self.block + found % self.block
-            if without is not None:
-                found, own = found[keep := self.order[own] != without], own[keep]
-            scores, rows = np.append(scores, np.round(score[found], 9)), np.append(rows, own)
-            if len(rows) > k:
-                near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
-                near = near[np.lexsort((self.ids[rows[near]], -scores[near]))[:k]]
-                scores, rows = scores[near], rows[near]
-            least = scores.min() if len(rows) == k else 0.0
-            at, step = at + step, 2 * step
-        order = np.lexsort((self.ids[rows], -scores))
-        return list(zip(scores[order].tolist(), self.ids[rows[order]].tolist(), self.order[rows[order]].tolist(), strict=True))
+        """The k best (similarity, id, row as given), best first, ties to smaller ids; all if fewer match."""
+        return self.search_all([(terms, weights)], k, [without])[0]
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int | None] | None = None) -> list[list[tuple[float, int, int]]]:
+        """The same for each of some queries.
+
+        Rare terms are added up first. The k-th best of these sums is a bound that the answers reach; blocks
+        whose best sum and largest common weights can't reach it for any of the queries are passed over."""
+        width = self.blocks * self.block
+        if not queries or not width:
+            return [[] for _ in queries]
+        of = np.repeat(np.arange(len(queries)), [len(t) for t, _ in queries])
+        term, weight = np.concatenate([t for t, _ in queries]).astype(np.int64), np.concatenate([w for _, w in queries])
+        sizes = self.starts[term + 1] - self.starts[term]
+        at = _slices(self.starts[term], sizes)
+        score = np.bincount(np.repeat(of * width, sizes) + self.rows[at], np.repeat(weight, sizes) * self.weights[at], len(queries) * width).reshape(len(queries), width).astype(float)  # without postings it is of integers
+        gone = [None if x is None else np.flatnonzero(self.order == x) for x in without or [None] * len(queries)]
+        for own, x in zip(score, gone, strict=True):
+            if x is not None:
+                own[x] = -2.0
+        common = self.slot[term] >= 0
+        asked = np.zeros((len(queries), len(self.dense)))
+        asked[of[common], self.slot[term[common]]] = weight[common]
+        least = np.partition(score, width - k, axis=1)[:, width - k] if width > k else np.zeros(len(queries))
+        reach = score.reshape(len(queries), self.blocks, self.block).max(axis=2) + asked @ self.most
+        alive = (reach >= np.maximum(least, 0.0)[:, None] - 1e-9).any(axis=0)
+        if alive.mean() > 0.6:
+            score += asked @ self.dense
+        else:
+            cells = np.flatnonzero(np.repeat(alive, self.block))
+            score[:, cells] += asked @ self.dense[:, cells]
+        out = []
+        for own in score:
+            if width > k:
+                near = np.flatnonzero(own >= max(np.partition(own, width - k)[width - k] - 1e-9, 0.0))
+            else:
+                near = np.arange(width)
+            near = near[own[near] > 0]
+            best = np.round(own[near], 9)
+            order = np.lexsort((self.ids[near], -best))[:k]
+            near = near[order]
+            out.append(list(zip(best[order].tolist(), self.ids[near].tolist(), self.order[near].tolist(), strict=True)))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,10 +143,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 
 @dataclass
 class ToxicityModel:
-    """Terms with idf, the index of labelled rows with a vector, and what makes scores of votes."""
+    """Terms (sorted hashes) with their weights, the index of labelled rows, and what makes scores of votes."""
 
-    terms: dict[str, int]
-    idf: np.ndarray
+    terms: np.ndarray
+    factor: np.ndarray  # idf, times more for what tells label 1
     index: BlockMaxIndex
     labels: np.ndarray
     row_weight: np.ndarray
@@ -103,11 +155,10 @@ class ToxicityModel:
     known: dict | None = None  # answers of this process, by vector
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The text's terms and weights, (1 + log tf) x idf, of length 1."""
-        get = self.terms.get
-        counts = Counter(t for w in terms_of(text) if (t := get(w)) is not None)
-        at = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[t] for t in at.tolist()])) * self.idf[at] if len(at) else np.zeros(0)
+        """The text's known terms and their weights, (1 + log tf) x factor, of length 1."""
+        h, counts = hashed_terms(text)
+        at, there = known_among(self.terms, h)
+        w = (1 + np.log(counts[there])) * self.factor[at]
         return at, w / np.linalg.norm(w) if len(at) else w
 
     def vote(self, found: list[tuple[float, int, int]]) -> float:
@@ -116,25 +167,38 @@ class ToxicityModel:
         w = self.row_weight[rows] / (1.05 - np.array([s for s, _, _ in found]))
         return float((w * self.labels[rows]).sum() / w.sum())
 
-    def judge(self, text: str) -> tuple[float, list[tuple[float, int, int]]]:
-        """Calibrated score and the neighbours that it rests on."""
-        at, w = self.vector(text)
+    def judge(self, texts: list[str]) -> list[tuple[float, list[tuple[float, int, int]]]]:
+        """Calibrated score of each text and the neighbours that it rests on."""
         if self.known is None or len(self.known) > 4_000:
             self.known = {}
-        key = (at.tobytes(), w.tobytes())
-        if key not in self.known:
-            found = self.index.search(at, w, NEIGHBOURS) if len(at) else []
-            vote = self.vote(found) if found else 0.0
-            self.known[key] = (float(np.clip(0.999 * np.interp(vote, *self.points) + 0.001 * vote, 0.0, 1.0)) if found else self.nothing, found)
-        return self.known[key]
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN, max_terms: int = MAX_TERMS) -> ToxicityModel:
+        out = []
+        for begin in range(0, len(texts), TOGETHER):
+            vectors = [self.vector(x) for x in texts[begin : begin + TOGETHER]]
+            keys = [xxhash.xxh3_128_digest(at.tobytes() + w.tobytes()) for at, w in vectors]
+            new = {key: v for key, v in zip(keys, vectors, strict=True) if key not in self.known}
+            for key, found in zip(new, self.index.search_all(list(new.values()), NEIGHBOURS), strict=True):
+                vote = self.vote(found) if found else 0.0
+                self.known[key] = (float(np.clip(0.999 * np.interp(vote, *self.points) + 0.001 * vote, 0.0, 1.0)) if found else self.nothing, found)
+            out += [self.known[key] for key in keys]
+        return out
+
+
+def known_among(terms: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the hashes h are among the sorted terms, of those that are, and which of h these are."""
+    if not len(terms):
+        return np.zeros(0, np.int64), np.zeros(len(h), bool)
+    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    there = terms[at] == h
+    return at[there], there
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> ToxicityModel:
     """Fit on docs(doc_id, text) and labels(doc_id, toxic); rows with a null id or label are skipped.
 
     At most about toxic_rows and clean_rows labelled rows are sampled, by a hash of the id; weights make
-    up for their unequal shares. Terms are those that label 1 has significantly more often. Their
-    document frequencies are of all rows of docs. The sample alone reaches the driver, as vectors.
+    up for their unequal shares. All their terms count and all their rows are in the index. A term weighs
+    its idf, over all rows of docs, times 1 + the root of its chi-square where label 1 has it more often.
+    Terms are told apart by hashes of 64 bits. The sample alone reaches the driver, as hashes and counts.
     """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = {r.toxic: r["count"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
@@ -145,60 +209,60 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TO
     sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
     def count_terms(batches):
-        seen: list[Counter] = [Counter(), Counter()]
         for batch in pieces(batches, "text"):
-            for text, label in zip(texts_of(batch), batch.column("toxic").to_pylist(), strict=True):
-                seen[label].update(set(terms_of(text)))
-        terms = list(seen[0] | seen[1])
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
-
-    sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    a, b = F.col("toxic"), F.col("clean")
-    chi2 = (n1 + n0) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.lit(float(max(n1, 1)) * max(n0, 1)) * (a + b) * F.greatest(n1 + n0 - a - b, F.lit(1)))
-    counted = sample.mapInArrow(lean(count_terms), "term string, toxic bigint, clean bigint").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    chosen = counted.where((a >= MIN_ROWS) & (a * n0 > b * n1)).select("term", chi2.cast("double").alias("chi2")).where(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "term").limit(max_terms)
-    terms = {r.term: i for i, r in enumerate(chosen.collect())}
+            got = [hashed_terms(x) for x in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), *(pa.array([x[j].tobytes() for x in got], pa.binary()) for j in (0, 1))], ["doc_id", "toxic", "terms", "counts"])
+
+    got = sample.mapInArrow(lean(count_terms), "doc_id bigint, toxic int, terms binary, counts binary").toArrow()
+    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "toxic", "terms", "counts")), strict=True))
+    del got
+    sizes = Counter(r[1] for r in rows)
+    weight = {k: total.get(k, 0) / max(sizes[k], 1) if total.get(k, 0) > most[k] else 1.0 for k in (0, 1)}
+    base = [(weight[r[1]], r[1]) for r in rows if not r[2]]
+    # as if one more text of the common rate had been seen
+    rate = sum(weight[r[1]] * r[1] for r in rows) / max(sum(weight[r[1]] for r in rows), 1e-9)
+    nothing = (sum(w * y for w, y in base) + rate) / (sum(w for w, _ in base) + 1)
+    rows = [r for r in rows if r[2]]
+    label = np.array([r[1] for r in rows], np.int64)
+    ids = np.array([r[0] for r in rows], np.int64)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) // 8 for r in rows])
+    terms, term = np.unique(np.frombuffer(b"".join(r[2] for r in rows), np.uint64), return_inverse=True)
+    term = term.astype(np.int32)
+    tf = 1 + np.log(np.frombuffer(b"".join(r[3] for r in rows), np.int32))
+    del rows
 
     def frequencies(batches):
-        df, n = np.zeros(len(terms) + 1, np.int64), 0
+        known = shared.value
+        df, n = np.zeros(len(known) + 1, np.int64), 0
         for batch in pieces(batches, "text"):
             for text in texts_of(batch):
-                for t in terms.keys() & set(terms_of(text)):
-                    df[terms[t]] += 1
+                df[known_among(known, hashed_terms(text)[0])[0]] += 1
             n += batch.num_rows
         df[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df)).astype(np.int32)), pa.array(df)], ["term", "df"])
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["term", "df"])
 
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    seen = docs.select("text").mapInArrow(lean(frequencies), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(terms) + 1)
-    for r in docs.select("text").mapInArrow(lean(frequencies), "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r.term] = r.df
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
-    model = ToxicityModel(terms, idf, BlockMaxIndex(np.zeros((0, len(terms))), np.zeros(0, np.int64)), np.zeros(0), np.zeros(0), 0.0)
-
-    def vectors(batches):
-        for batch in pieces(batches, "text"):
-            got = [model.vector(x) for x in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([t.tolist() for t, _ in got], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in got], pa.list_(pa.float64()))], ["doc_id", "toxic", "terms", "weights"])
-
-    rows = sorted(sample.mapInArrow(lean(vectors), "doc_id bigint, toxic int, terms array<int>, weights array<double>").collect(), key=lambda r: (r.doc_id, r.terms, r.weights))
-    weight = {k: total.get(k, 0) / max(sizes.get(k, 0), 1) if total.get(k, 0) > most[k] else 1.0 for k in (0, 1)}
-    base = [(weight[r.toxic], r.toxic) for r in rows if not r.terms]
-    # as if one more text of the common rate had been seen
-    rate = sum(weight[r.toxic] * r.toxic for r in rows) / max(sum(weight[r.toxic] for r in rows), 1e-9)
-    model.nothing = (sum(w * y for w, y in base) + rate) / (sum(w for w, _ in base) + 1)
-    rows = [r for r in rows if r.terms]
-    dense = np.zeros((len(rows), len(terms)))
-    for i, r in enumerate(rows):
-        dense[i, r.terms] = r.weights
-    model.index = BlockMaxIndex(dense, np.array([r.doc_id for r in rows], np.int64))
-    model.labels = np.array([float(r.toxic) for r in rows])
-    model.row_weight = np.array([weight[r.toxic] for r in rows])
-    if rows:  # votes of labelled rows' other neighbours against their labels
-        some = np.random.default_rng(13).permutation(len(rows))[:CALIBRATION_ROWS]
-        found = [model.index.search(np.array(rows[i].terms), np.array(rows[i].weights), NEIGHBOURS, without=i) for i in some.tolist()]
-        votes = np.array([model.vote(x) if x else model.nothing for x in found])
-        model.points = isotonic(votes, model.labels[some], model.row_weight[some])
+    df[seen.column("term").to_numpy()] = seen.column("df").to_numpy()
+    n1, n0 = sizes[1], sizes[0]
+    a = np.bincount(term[label[row] == 1], minlength=len(terms)).astype(float)
+    b = np.bincount(term, minlength=len(terms)) - a
+    chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (float(max(n1, 1)) * max(n0, 1) * np.maximum(a + b, 1) * np.maximum(n1 + n0 - a - b, 1))
+    factor = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1) * (1 + np.sqrt(np.where(a * n0 > b * n1, chi2, 0.0)))
+    w = tf * factor[term]
+    w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
+    model = ToxicityModel(terms, factor, BlockMaxIndex.of(row, term, w, len(terms), ids), label.astype(float), np.array([weight[y] for y in label.tolist()]), nothing)
+    if len(ids):  # votes of labelled rows' other neighbours against their labels
+        some = np.random.default_rng(13).permutation(len(ids))[:CALIBRATION_ROWS]
+        ends = np.append(0, np.cumsum(np.bincount(row, minlength=len(ids))))
+        votes = []
+        for begin in range(0, len(some), TOGETHER):
+            part = some[begin : begin + TOGETHER].tolist()
+            found = model.index.search_all([(term[ends[i] : ends[i + 1]], w[ends[i] : ends[i + 1]]) for i in part], NEIGHBOURS, part)
+            votes += [model.vote(x) if x else nothing for x in found]
+        model.points = isotonic(np.array(votes), model.labels[some], model.row_weight[some])
     return model
 
 
@@ -217,7 +281,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         own = shared.value
         own.known = None
         for batch in pieces(batches, "text"):
-            got = [own.judge(x) for x in texts_of(batch)]
+            got = own.judge(texts_of(batch))
             evidence = [[{"doc_id": i, "similarity": s, "toxic": int(own.labels[r])} for s, i, r in found] for _, found in got]
             scores = [s for s, _ in got]
             yield batch.append_column("score", pa.array(scores, pa.float64())).append_column("predicted", pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())).append_column("neighbours", pa.array(evidence, near))

@@ -49,3 +49,27 @@ def test_odd_rows(spark):
     assert clean.columns == docs.columns and {r.score for r in clean.collect()} == {3} and clean.count() == sum(r.predicted == 0 for r in got)
     blank = T.fit_toxicity(docs.limit(0).select("doc_id", "text"), labels.limit(0))
     assert {r.score for r in T.score_toxicity(docs, blank).collect()} == {0.0} and T.score_toxicity(docs.limit(0), model).count() == 0
+
+
+def test_every_word_counts(spark):
+    """Vectors are of all words: words that label 1 does not have move the cosine, and no sampled row leaves the index."""
+    rows = [(i, f"idiot scum w{i}" if i % 4 == 0 else f"nice house w{i}") for i in range(80)]
+    docs = spark.createDataFrame(rows + [(200, "house nice w1"), (201, "idiot house nice w2 w3 w5")], "doc_id bigint, text string")
+    model = T.fit_toxicity(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id bigint, toxic int"))
+    assert len(model.labels) == len(model.index.ids) == 80
+    got = {r.doc_id: r.neighbours for r in T.score_toxicity(docs, model).collect()}
+    assert (got[200][0].doc_id, got[200][0].similarity) == (1, 1.0)
+    assert 0 < got[201][0].similarity < 0.99 and all(len(n) == T.NEIGHBOURS for n in got.values())
+
+
+def test_sparse_postings_give_the_same(spark):
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((700, 300)) < 0.03, rng.random((700, 300)), 0.0)
+    x[:, :3] = rng.random((700, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = T.BlockMaxIndex(x, np.arange(700), block=8)
+    assert 0 < len(index.dense) < 300 and len(index.rows)
+    for i in range(0, 700, 50):
+        at = np.flatnonzero(x[i])
+        want = sorted((-round(float(s), 9), j) for j, s in enumerate(x @ x[i]) if s > 0 and j != i)[:15]
+        assert [(-s, j) for s, j, _ in index.search(at, x[i, at], 15, without=i)] == want
