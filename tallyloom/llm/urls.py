@@ -12,7 +12,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import read
+from tallyloom.llm.common import cut, read
 
 
 class UrlRule(NamedTuple):
@@ -24,8 +24,8 @@ class UrlRule(NamedTuple):
 
 
 RULES = (UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"), UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/"))
-#: Bounds of the labelled sample that the trees are fitted on, and of the suffixes that have statistics.
-SAMPLE_ROWS, MAX_SUFFIXES = 8_000, 256
+#: Bound of the labelled sample that the trees are fitted on.
+SAMPLE_ROWS = 8_000
 TREES, DEPTH = 12, 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -91,25 +91,30 @@ def _tree_sql(node, names: list[str]) -> str:
 
 
 class UrlModel(NamedTuple):
-    """Block rates of suffixes, and the sum of the trees as SQL over the features; of bounded size."""
+    """Block rates of all suffixes (tables s, rate), and the sum of the trees as SQL over the features."""
 
-    rates: dict[str, dict[str, float]]
+    rates: dict[str, DataFrame]
     rate: float
     margin: str
 
-    def features(self, url: Column) -> dict[str, Column]:
-        out = lexical_features(url)
-        for name, column in suffixes_of(F.coalesce(url, F.lit(""))).items():
-            known = [F.lit(x) for pair in self.rates[name].items() for x in pair]
-            out[name] = F.coalesce(F.create_map(*known)[column], F.lit(self.rate)) if known else F.lit(self.rate)
-        return out
+    def with_features(self, df: DataFrame, url: str, name: str) -> DataFrame:
+        """df with the struct name of the features of its column url. Each table of rates has a row a suffix
+        and is joined from the left, so rows stay; Spark broadcasts it if its size is known to be small."""
+        text = F.coalesce(F.col(url), F.lit(""))
+        lexical = lexical_features(text)
+        out = df.withColumns({f"_{k}": c for k, c in suffixes_of(text).items()})
+        for k, rates in self.rates.items():
+            own = rates.select(F.col("s").alias(f"_{k}"), F.col("rate").alias(f"_{k}_rate"))
+            out = out.join(own, f"_{k}", "left")
+        known = [F.coalesce(F.col(f"_{k}_rate"), F.lit(self.rate)).alias(k) for k in self.rates]
+        return out.select(*df.columns, F.struct(*[c.alias(k) for k, c in lexical.items()], *known).alias(name))
 
 
 def fit_url_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlModel:
     """Fit on labelled(url, label): label 1 is block.
 
-    Suffix statistics are block rates over all labelled rows, of the commonest MAX_SUFFIXES, drawn to the
-    common rate as if 10 more rows had it. Trees are fitted on about sample_rows rows, by a hash of the
+    Suffix statistics are block rates of all suffixes over all labelled rows, drawn to the common rate as if
+    10 more rows had it. Trees are fitted on about sample_rows rows, by a hash of the
     url. Rows with null url or label are skipped. With one kind of label only, that is the model.
     """
     labelled = labelled.where("url is not null and label is not null").select("url", F.col("label").cast("double").alias("label"))
@@ -117,17 +122,17 @@ def fit_url_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlMod
     rate = blocked / n if n else 0.0
     rates = {}
     for name, column in suffixes_of(F.col("url")).items():
-        seen = labelled.groupBy(column.alias("s")).agg(F.count("label").alias("n"), F.sum("label").alias("b")).orderBy(F.desc("n"), "s").limit(MAX_SUFFIXES)
-        rates[name] = {r.s: (r.b + 10 * rate) / (r.n + 10) for r in seen.collect()}
+        seen = labelled.groupBy(column.alias("s")).agg(F.count("label").alias("n"), F.sum("label").alias("b"))
+        rates[name] = cut(seen.select("s", ((F.col("b") + 10 * rate) / (F.col("n") + 10)).alias("rate")))
     model = UrlModel(rates, rate, f"{2.0 * rate - 1.0!r}D")
     if blocked in (0, n):
         return model
     part = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(1_000_003)) / 1_000_003.0
-    columns = model.features(F.col("url"))
-    sample = labelled.where(part < sample_rows / n).select("label", *[c.alias(k) for k, c in columns.items()])
-    ready = VectorAssembler(inputCols=list(columns), outputCol="features").transform(sample).select("features", "label").coalesce(4)
+    sample = model.with_features(labelled.where(part < sample_rows / n), "url", "_f").select("label", "_f.*")
+    columns = [c for c in sample.columns if c != "label"]
+    ready = VectorAssembler(inputCols=columns, outputCol="features").transform(sample).select("features", "label").coalesce(4)
     trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=3, checkpointInterval=-1).fit(ready)
-    names = [f"`{k}`" for k in columns]
+    names = [f"_f.`{k}`" for k in columns]
     parts = [f"{w!r}D * ({_tree_sql(t._call_java('rootNode'), names)})" for t, w in zip(trees.trees, trees.treeWeights, strict=True)]
     return model._replace(margin=" + ".join(parts))
 
@@ -135,19 +140,15 @@ def fit_url_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> UrlMod
 def judge_urls(pages: DataFrame, model: UrlModel, rules: tuple[UrlRule, ...] = RULES) -> DataFrame:
     """pages(url, ...) with host, path, rule, verdict and score, the trees' probability of block.
 
-    A projection: no shuffle. A rule's verdict wins; elsewhere score >= 0.5 is block. Null and empty urls
+    Suffix rates are joined by suffix, the rest is a projection. A rule's verdict wins; elsewhere score >= 0.5 is block. Null and empty urls
     have an empty host and path and no rule, and are judged like any other text. Rows are judged each by
     itself; columns of these five names are replaced, others stay; an empty table gives an empty result.
     """
     given = pages.drop("host", "path", "rule", "verdict", "score")
-    margin = model.features(F.col("_url"))
-    staged = given.withColumn("_url", F.col("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    staged = given.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    staged = staged.withColumn("_f", F.struct(*[c.alias(k) for k, c in margin.items()]))
-    sql = model.margin
-    for k in margin:
-        sql = sql.replace(f"`{k}`", f"_f.`{k}`")
-    return staged.withColumns({"rule": rule, "_said": verdict, "score": 1.0 / (1.0 + F.exp(-2.0 * F.expr(sql)))}).withColumn("verdict", F.coalesce("_said", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).select(*given.columns, "host", "path", "rule", "verdict", "score")
+    staged = model.with_features(staged, "url", "_f")
+    return staged.withColumns({"rule": rule, "_said": verdict, "score": 1.0 / (1.0 + F.exp(-2.0 * F.expr(model.margin)))}).withColumn("verdict", F.coalesce("_said", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).select(*given.columns, "host", "path", "rule", "verdict", "score")
 
 
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

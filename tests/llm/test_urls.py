@@ -55,3 +55,15 @@ def test_entropy(spark):
     got = {r.url: r.e for r in df.select("url", U.lexical_features(F.col("url"))["entropy"].alias("e")).collect()}
     for u in urls:
         assert math.isclose(got[u], -sum(n / len(u) * math.log2(n / len(u)) for n in Counter(u).values()), abs_tol=1e-9)
+
+
+def test_all_suffixes_have_rates(spark):
+    """The 300 rarer hosts keep their own rates beside 300 commoner ones."""
+    rows = [(f"http://c{i}.aa/x{j}", i % 2) for i in range(300) for j in range(4)] + [(f"http://r{i}.bb/x", 1) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "url string, label int")
+    model = U.fit_url_model(labelled)
+    rates = {r.s: r.rate for r in model.rates["suffix2"].collect()}
+    assert len(rates) == 600 and model.rates["suffix_path"].count() == 1500
+    assert {round(rates[f"r{i}.bb"], 9) for i in range(300)} == {round((1 + 10 * model.rate) / 11, 9)}
+    got = model.with_features(labelled, "url", "f")
+    assert got.count() == 1500 and got.where("url like '%.bb/%'").select("f.suffix2").distinct().collect()[0][0] > model.rate
