@@ -16,12 +16,16 @@ from pyspark.sql import types as T
 from tallyloom.llm.common import lean, pieces, read, texts_of
 
 #: Bounds of the labelled sample: rows of label 1 and of label 0.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 4_500
 #: Of the sample, rows that scores are calibrated on.
 CALIBRATION_ROWS = 3_000
 NEIGHBOURS, THRESHOLD, BLOCK = 15, 0.3, 32
+#: Deviations that a term has to differ between the labels before it weighs more than its idf.
+NOISE = 3.0
 #: Terms in one of so many rows or more are kept as dense rows; texts that are searched for at once.
 COMMON, TOGETHER = 16, 64
+#: More than single precision loses in a sum of products of unit vectors.
+ERROR = 1e-4
 
 _words = re.compile(r"\w+").findall
 
@@ -76,6 +80,7 @@ class BlockMaxIndex:
         dense = self.slot[term] >= 0
         self.dense = np.zeros((len(common), self.blocks * block))
         self.dense[self.slot[term[dense]], place[row[dense]]] = weight[dense]
+        self.rough = self.dense.astype(np.float32)  # what is added up first; answers are made of dense
         self.most = self.dense.reshape(len(common), self.blocks, block).max(axis=2) if n else np.zeros((len(common), 0))
         rest = np.flatnonzero(~dense)
         rest = rest[np.argsort(term[rest], kind="stable")]
@@ -90,7 +95,9 @@ class BlockMaxIndex:
         """The same for each of some queries.
 
         Rare terms are added up first. The k-th best of these sums is a bound that the answers reach; blocks
-        whose best sum and largest common weights can't reach it for any of the queries are passed over."""
+        whose best sum and largest common weights can't reach it for any of the queries are passed over. In
+        the others common terms are added up in single precision; whoever comes within its error of the k-th
+        best gets the exact sum."""
         width = self.blocks * self.block
         if not queries or not width:
             return [[] for _ in queries]
@@ -109,19 +116,16 @@ class BlockMaxIndex:
         least = np.partition(score, width - k, axis=1)[:, width - k] if width > k else np.zeros(len(queries))
         reach = score.reshape(len(queries), self.blocks, self.block).max(axis=2) + asked @ self.most
         alive = (reach >= np.maximum(least, 0.0)[:, None] - 1e-9).any(axis=0)
-        if alive.mean() > 0.6:
-            score += asked @ self.dense
-        else:
-            cells = np.flatnonzero(np.repeat(alive, self.block))
-            score[:, cells] += asked @ self.dense[:, cells]
+        cells = slice(None) if alive.mean() > 0.6 else np.flatnonzero(np.repeat(alive, self.block))
+        rough = score.astype(np.float32)
+        rough[:, cells] += asked.astype(np.float32) @ self.rough[:, cells]
         out = []
-        for own in score:
-            if width > k:
-                near = np.flatnonzero(own >= max(np.partition(own, width - k)[width - k] - 1e-9, 0.0))
-            else:
-                near = np.arange(width)
-            near = near[own[near] > 0]
-            best = np.round(own[near], 9)
+        for own, about, common in zip(score, rough, asked, strict=True):
+            near = np.flatnonzero(about >= max(np.partition(about, width - k)[width - k] if width > k else 0.0, 0.0) - ERROR)
+            some = np.flatnonzero(common)
+            own = own[near] + common[some] @ self.dense[some[:, None], near]
+            near, own = near[own > 0], own[own > 0]
+            best = np.round(own, 9)
             order = np.lexsort((self.ids[near], -best))[:k]
             near = near[order]
             out.append(list(zip(best[order].tolist(), self.ids[near].tolist(), self.order[near].tolist(), strict=True)))
@@ -146,7 +150,7 @@ class ToxicityModel:
     """Terms (sorted hashes) with their weights, the index of labelled rows, and what makes scores of votes."""
 
     terms: np.ndarray
-    factor: np.ndarray  # idf, times more for what tells label 1
+    factor: np.ndarray  # idf, times more for what tells the labels apart
     index: BlockMaxIndex
     labels: np.ndarray
     row_weight: np.ndarray
@@ -197,8 +201,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TO
 
     At most about toxic_rows and clean_rows labelled rows are sampled, by a hash of the id; weights make
     up for their unequal shares. All their terms count and all their rows are in the index. A term weighs
-    its idf, over all rows of docs, times 1 + the root of its chi-square where label 1 has it more often.
-    Terms are told apart by hashes of 64 bits. The sample alone reaches the driver, as hashes and counts.
+    its idf, over all rows of docs, times 1 + what the root of its chi-square (with Yates' correction, for
+    either label) has above NOISE. Labels of one doc_id that disagree count as 1. Terms are told apart by
+    hashes of 64 bits. The sample alone reaches the driver, as hashes and counts.
     """
     labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     total = {r.toxic: r["count"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").count().collect()}
@@ -235,8 +240,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TO
         known = shared.value
         df, n = np.zeros(len(known) + 1, np.int64), 0
         for batch in pieces(batches, "text"):
-            for text in texts_of(batch):
-                df[known_among(known, hashed_terms(text)[0])[0]] += 1
+            got = [hashed_terms(text)[0] for text in texts_of(batch)]
+            df += np.bincount(known_among(known, np.concatenate(got))[0], minlength=len(df))
             n += batch.num_rows
         df[-1] = n
         at = np.flatnonzero(df)
@@ -249,8 +254,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TO
     n1, n0 = sizes[1], sizes[0]
     a = np.bincount(term[label[row] == 1], minlength=len(terms)).astype(float)
     b = np.bincount(term, minlength=len(terms)) - a
-    chi2 = (n1 + n0) * (a * (n0 - b) - b * (n1 - a)) ** 2 / (float(max(n1, 1)) * max(n0, 1) * np.maximum(a + b, 1) * np.maximum(n1 + n0 - a - b, 1))
-    factor = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1) * (1 + np.sqrt(np.where(a * n0 > b * n1, chi2, 0.0)))
+    off = np.maximum(np.abs(a * (n0 - b) - b * (n1 - a)) - (n1 + n0) / 2, 0.0)
+    root = off * np.sqrt((n1 + n0) / (float(max(n1, 1)) * max(n0, 1) * np.maximum(a + b, 1) * np.maximum(n1 + n0 - a - b, 1)))
+    factor = (np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1) * (1 + np.maximum(root - NOISE, 0.0))
     w = tf * factor[term]
     w /= np.sqrt(np.bincount(row, w * w, len(ids)))[row]
     model = ToxicityModel(terms, factor, BlockMaxIndex.of(row, term, w, len(terms), ids), label.astype(float), np.array([weight[y] for y in label.tolist()]), nothing)

@@ -1,3 +1,8 @@
+import math
+import re
+import zlib
+from collections import Counter
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,7 +44,7 @@ def test_odd_rows(spark):
     rows = [(i, f"text{i} idiot scum" if i % 4 == 0 else f"text{i} nice house", 3) for i in range(80)]
     rows += [(100, None, 3), (101, "", 3), (None, "idiot scum", 3), (102, "nice " * 50_000, 3), (102, "x IDIOT scum", 3), (102, "x IDIOT scum", 3)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, score int")
-    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(100, 1), (101, None), (None, 1)], "doc_id bigint, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)] + [(100, 1), (101, None), (None, 1), (4, 0)], "doc_id bigint, toxic int")
     model = T.fit_toxicity(docs.select("doc_id", "text"), labels)
     got = T.score_toxicity(docs, model).collect()
     assert len(got) == len(rows)
@@ -73,3 +78,41 @@ def test_sparse_postings_give_the_same(spark):
         at = np.flatnonzero(x[i])
         want = sorted((-round(float(s), 9), j) for j, s in enumerate(x @ x[i]) if s > 0 and j != i)[:15]
         assert [(-s, j) for s, j, _ in index.search(at, x[i, at], 15, without=i)] == want
+
+
+def test_whole_query_by_brute_force(spark):
+    """op1 over all documents of sf0.01: neighbours and votes from dense vectors of all words."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in docs}
+    bags = {i: Counter(re.findall(r"\w+", t.lower())) for i, t in docs.items()}
+    ids = sorted(labels)
+    place = {w: k for k, w in enumerate(sorted({w for i in ids for w in bags[i]}))}
+    seen, by_label = Counter(w for b in bags.values() for w in b if w in place), [Counter(w for i in ids if labels[i] == y for w in bags[i]) for y in (0, 1)]
+    size = [sum(labels[i] == y for i in ids) for y in (0, 1)]
+    n, factor = sum(size), np.zeros(len(place))
+    for w, k in place.items():
+        a, b = by_label[1][w], by_label[0][w]
+        # Pearson's statistic with Yates' correction, cell by cell
+        cells = [(a, 1, a + b), (b, 0, a + b), (size[1] - a, 1, n - a - b), (size[0] - b, 0, n - a - b)]
+        chi2 = sum(max(abs(x - size[y] * m / n) - 0.5, 0) ** 2 / (size[y] * m / n) for x, y, m in cells if m)
+        factor[k] = (math.log((1 + len(docs)) / (1 + seen[w])) + 0.1) * (1 + max(math.sqrt(chi2) - 3, 0))
+
+    def vector(bag):
+        v = np.zeros(len(place))
+        for w, c in bag.items():
+            if w in place:
+                v[place[w]] = (1 + math.log(c)) * factor[place[w]]
+        return v / max(np.linalg.norm(v), 1e-300)
+
+    rows = np.array([vector(bags[i]) for i in ids])
+    found = found_any = 0
+    for r in T.op1_toxicity(spark, sf).collect():
+        sims = rows @ vector(bags[r.doc_id])
+        want = sorted(((-round(float(s), 9), i) for s, i in zip(sims, ids, strict=True) if s > 0))[:15]
+        got = [(-x.similarity, x.doc_id) for x in r.neighbours]
+        assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=2e-9) and all(x.toxic == labels[x.doc_id] for x in r.neighbours)
+        found += [i for _, i in got] == [i for _, i in want]  # but for sums that differ in the ninth digit
+        found_any += bool(got)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.3)
+    assert found >= 0.999 * len(docs) and found_any > 0.95 * len(docs)
