@@ -1,17 +1,22 @@
-"""Substring dedup: recurring passages are confirmed over the corpus, compiled into Aho-Corasick automata
-over words, one for each block of documents, and located in all documents.
-
-Identical windows of words have the same anchor: the least hash of their short phrases. So windows are
-compared in two steps, both with blocks of documents sending sorted hashes to buckets and getting back one
-bit for each: first anchors, about one for each 14 words; then the windows whose anchor recurs. A block
-sends each value once, so a passage in a third of all documents is one value of each block.
+"""Substring dedup: recurring passages are confirmed by their words, compiled into sharded Aho-Corasick
+automata over words, and located in every document.
+
+Identical windows of words have the same anchor: the least hash of their short phrases. Anchors are counted
+over the corpus, a row for each of a block's anchors, combined before they move. All that has a recurring
+anchor is cut into pieces, runs of windows with one anchor, and a piece goes to the shard of its anchor. A
+shard compares the windows of its distinct pieces word by word, grows those that recur into passages, compiles
+one automaton of all its passages and streams all its pieces through it. What the automaton finds, and nothing
+else, is removed. A document's pieces together hold every window of it that could recur, so all documents are
+streamed, but each stretch through the one automaton that can know it.
+
+An anchor of more than HOT places would make a hot shard, as each place brings its own surroundings: its pieces
+are single windows, sent to the shard of the whole window, where equal ones come as a row a block.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
-from itertools import count, groupby
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -24,9 +29,10 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import cut, lean, lean_pair, pack_strings, pieces, read, texts_of, unpack_strings
 from tallyloom.llm.dart_minhash import mix
 
-#: Words of a window and of the phrases whose least hash is its anchor; bytes of a block; bytes of corpus for each bucket.
-WINDOW, PHRASE, BLOCK_BYTES, BUCKET_BYTES = 35, 8, 2_000_000, 24_000_000
-
+#: Words of a window and of the phrases whose least hash is its anchor; bytes of a block and of a shard's pieces.
+WINDOW, PHRASE, BLOCK_BYTES, SHARD_BYTES = 35, 8, 2_000_000, 8_000_000
+#: Windows of a piece at most; places of an anchor from which its windows are dealt out one by one.
+RUN, HOT = 64, 4_000
 
 def _run(h: np.ndarray, n: int) -> np.ndarray:
     """At each place the hash of n items from there on, by doubling; the last n - 1 mean nothing."""
@@ -49,7 +55,7 @@ def _extreme(x: np.ndarray, n: int, op, forward: bool) -> np.ndarray:
 
 
 class Block:
-    """The words of some texts as numbers, with the hashes of their windows and anchors."""
+    """The words of some texts as numbers, with the anchors of their windows."""
 
     def __init__(self, texts: list[bytes]) -> None:
         seen = defaultdict(count().__next__)
@@ -60,81 +66,102 @@ class Block:
         self.ends = np.cumsum(self.counts)
         self.word = np.concatenate([np.zeros(0, np.int64), *word])
         self.valid = np.arange(len(self.word)) + WINDOW <= np.repeat(self.ends, self.counts)
-        self._hash = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, self.words)), np.uint64).reshape(-1, 2)
 
     def find_anchors(self) -> None:
-        """anchor: of each window; phrase: the hash at each place where a phrase is the anchor of some window."""
-        self.first = self._hash[self.word, 0]
-        self._phrase = _run(self.first, PHRASE)
+        """anchor: of each window."""
+        self._first = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))[self.word]
+        self._phrase = mix(_run(self._first, PHRASE))  # least values; mixed again, they spread evenly
         self.anchor = _extreme(self._phrase, WINDOW - PHRASE + 1, np.minimum, True)
-        self.phrase = self._phrase[self._places(self.valid)]
-
-    def _places(self, windows: np.ndarray) -> np.ndarray:
-        """Where a phrase is the anchor of one of these windows (a flag for each start)."""
-        top = _extreme(np.where(windows, self.anchor, np.uint64(0)), WINDOW - PHRASE + 1, np.maximum, False)
-        return np.flatnonzero(top == self._phrase)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the anchors, and whether each has two places or more here."""
-        # anchors are least values; mixed, they spread evenly over buckets
-        values, counts = np.unique(mix(self.phrase), return_counts=True) if len(self.phrase) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        return values, counts > 1
+        """Distinct anchors and at how many places each stands."""
+        top = _extreme(np.where(self.valid, self.anchor, np.uint64(0)), WINDOW - PHRASE + 1, np.maximum, False)
+        return np.unique(self._phrase[top == self._phrase], return_counts=True) if self.valid.any() else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def candidates(self, values: np.ndarray, recurs: np.ndarray) -> np.ndarray:
-        """Starts of windows whose anchor recurs."""
+    def pieces(self, recurring: np.ndarray, hot: np.ndarray) -> list[tuple[int, bool, bytes, bytes]]:
+        """(key, hot, starts, words) of the distinct pieces whose anchor recurs, with all their starts here."""
         starts = np.flatnonzero(self.valid)
-        known = values[recurs]
-        if not len(known) or not len(starts):
-            return starts[:0]
-        a = mix(self.anchor[starts])
-        return starts[known[np.minimum(np.searchsorted(known, a), len(known) - 1)] == a]
-
-    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct sorted 128-bit hashes of the windows (two arrays), whether each starts twice or more,
-        and which of them each start has."""
-        key = np.zeros(len(starts), [("a", "<u8"), ("b", "<u8")])
-        if len(starts):
-            key["a"], key["b"] = _run(self.first, WINDOW)[starts], _run(self._hash[self.word, 1], WINDOW)[starts]
-        order = np.lexsort((key["b"], key["a"]))
-        key = key[order]
-        new = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
-        which = np.empty(len(starts), np.int64)
-        which[order] = np.cumsum(new) - 1
-        counts = np.bincount(which, minlength=int(new.sum())) if len(key) else np.zeros(0, np.int64)
-        return key["a"][new], key["b"][new], counts > 1, which
-
-    def locate(self, confirmed: np.ndarray) -> np.ndarray:
-        """For each word, whether a confirmed window (a flag for each start) covers it.
-
-        The automaton has the anchor phrases of confirmed windows as sequences of word numbers. All texts
-        stream through it; each window around an occurrence is looked up among the confirmed. (Phrases
-        that run from one text into the next are inside no valid window.)"""
+        if not len(recurring) or not len(starts):
+            return []
+        order = np.argsort(recurring)
+        recurring, hot = recurring[order], hot[order]
+        at = np.minimum(np.searchsorted(recurring, self.anchor[starts]), len(recurring) - 1)
+        some = recurring[at] == self.anchor[starts]
+        starts, at = starts[some], at[some]
+        key, single = recurring[at], hot[at]
+        if single.any():
+            key = np.where(single, _run(mix(self._first), WINDOW)[starts], key)
+        fresh = np.append(True, (np.diff(starts) != 1) | (key[1:] != key[:-1]) | single[1:]) if len(starts) else np.zeros(0, bool)
+        place = np.arange(len(starts))
+        fresh |= (place - np.maximum.accumulate(np.where(fresh, place, 0))) % RUN == 0
+        begin = np.flatnonzero(fresh)
+        size = np.diff(np.append(begin, len(starts)))
+        text = [self.words[i] for i in self.word.tolist()]
+        found: dict[tuple, list[int]] = {}
+        for k, h, s, e in zip(key[begin].view(np.int64).tolist(), single[begin].tolist(), starts[begin].tolist(), (starts[begin] + size + WINDOW - 1).tolist(), strict=True):
+            found.setdefault((k, h, b" ".join(text[s:e])), []).append(s)
+        return [(k, h, np.array(at, "<i4").tobytes(), x) for (k, h, x), at in found.items()]
+
+
+class Shard:
+    """Pieces of text, the passages that recur in them, and the automaton that locates these.
+
+    texts: distinct pieces; places: how often each stands in the corpus."""
+
+    def __init__(self, texts: list[bytes], places: np.ndarray) -> None:
+        seen = defaultdict(count().__next__)
+        word = [np.fromiter(map(seen.__getitem__, own := x.split()), np.int64, len(own)) for x in texts]
+        self.sizes = np.array([len(w) + 1 for w in word], np.int64)  # with a word that stands nowhere else between pieces
+        gap = np.array([len(seen)], np.int64)
+        self.word = np.concatenate([np.zeros(0, np.int64), *(x for w in word for x in (w, gap))])
+        self.ends = np.cumsum(self.sizes)
+        self.passages = self._confirm(places)
+
+    def _same(self, starts: np.ndarray) -> np.ndarray:
+        """Numbers of windows: equal for equal words, and for them alone."""
+        _, first, which = np.unique(_run(mix(self.word.astype(np.uint64)), WINDOW)[starts], return_index=True, return_inverse=True)
+        other = starts[first][which]
+        if all((self.word[starts + k] == self.word[other + k]).all() for k in range(WINDOW)):
+            return which
+        known: dict[bytes, int] = {}  # two sequences with one hash: tell all apart by their words
+        return np.array([known.setdefault(self.word[s : s + WINDOW].tobytes(), len(known)) for s in starts.tolist()], np.int64)
+
+    def _confirm(self, places: np.ndarray) -> list[tuple[int, ...]]:
+        """The longest runs of windows that recur, as sequences of words."""
+        piece = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        starts = np.flatnonzero(np.arange(len(self.word)) + WINDOW < self.ends[piece]) if len(self.word) else np.zeros(0, np.int64)
+        if not len(starts):
+            return []
+        which = self._same(starts)
+        starts = starts[np.bincount(which, places[piece[starts]])[which] > 1]
+        if not len(starts):
+            return []
+        begin = np.flatnonzero(np.append(True, np.diff(starts) != 1))
+        last = np.append(begin[1:], len(starts)) - 1
+        flat = self.word.tolist()
+        return list({tuple(flat[s:e]) for s, e in zip(starts[begin].tolist(), (starts[last] + WINDOW).tolist(), strict=True)})
+
+    def locate(self) -> np.ndarray:
+        """For each word of the pieces, whether a passage covers it: the automaton's matches over all pieces."""
         covered = np.zeros(len(self.word) + 1, np.int64)
-        if not confirmed.any():
-            return covered[:-1] > 0
-        stream = self.word.tolist()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-        for p in self._places(confirmed).tolist():
-            automaton.add_word(tuple(stream[p : p + PHRASE]))
-        automaton.make_automaton()
-        hit = np.zeros(len(self.word) + WINDOW + 1, np.int64)
-        hit[np.fromiter((end for end, _ in automaton.iter(tuple(stream))), np.int64) - PHRASE + 1] = 1
-        total = np.cumsum(np.append(0, hit))
-        around = self.valid & (total[WINDOW - PHRASE + 1 :][: len(self.word)] > total[: len(self.word)])
-        found = np.flatnonzero(around & confirmed)
-        covered[found] += 1
-        covered[found + WINDOW] -= 1
+        if self.passages:
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+            for p in self.passages:
+                automaton.add_word(p)
+            automaton.make_automaton()
+            found = np.fromiter((x for match in automaton.iter(tuple(self.word.tolist())) for x in match), np.int64).reshape(-1, 2)
+            np.add.at(covered, found[:, 0] - found[:, 1] + 1, 1)
+            np.add.at(covered, found[:, 0] + 1, -1)
         return np.cumsum(covered)[:-1] > 0
 
-    def decide(self, anchor_bits: np.ndarray | None, window_bits: np.ndarray | None) -> np.ndarray:
-        """For each word, whether it goes, by the buckets' answers."""
-        values, _ = self.anchors()
-        starts = self.candidates(values, anchor_bits if anchor_bits is not None else np.zeros(len(values), bool))
-        *_, which = self.windows(starts)
-        confirmed = np.zeros(len(self.word), bool)
-        if window_bits is not None:
-            confirmed[starts] = window_bits[which]
-        return self.locate(confirmed)
+    def ranges(self) -> list[np.ndarray]:
+        """Of each piece, the covered ranges (begin, end), counted in its words."""
+        edge = np.diff(np.concatenate([[0], self.locate().astype(np.int8), [0]]))  # the words between pieces are never covered
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        first = self.ends - self.sizes
+        own = np.searchsorted(first, begin, side="right") - 1
+        both = np.column_stack([begin - first[own], end - first[own]]) if len(begin) else np.zeros((0, 2), np.int64)
+        return np.split(both, np.searchsorted(own, np.arange(1, len(first)))) if len(first) else []
 
 
 def _blocks(batches):
@@ -151,48 +178,41 @@ def _blocks(batches):
         yield TaskContext.get().partitionId() << 32 | k, pa.chunked_array(ids), texts
 
 
-def _check(texts: list[bytes]) -> int:
-    total = 0
-    for x in texts:
-        total = zlib.crc32(x, total)
-    return total
-
-
-def _sent(block: int, check: int, values: np.ndarray, more: np.ndarray, twice: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows for the buckets: ranges of the sorted values (with second halves, if any) and their flags."""
-    bucket = ((values >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
-    starts = np.flatnonzero(np.append(True, np.diff(bucket) != 0)) if len(bucket) else np.zeros(0, np.int64)
-    rows = [(int(bucket[s]), values[s:e].tobytes(), more[s:e].tobytes(), np.packbits(twice[s:e]).tobytes()) for s, e in zip(starts.tolist(), np.append(starts, len(bucket))[1:].tolist(), strict=True)]
-    n = len(rows)
-    return pa.RecordBatch.from_pydict({"block": pa.array([block] * n, pa.int64()), "check": pa.array([check] * n, pa.int64()), "bucket": pa.array([r[0] for r in rows], pa.int32()), **{name: pa.array([r[j] for r in rows], pa.binary()) for j, name in ((1, "values"), (2, "more"), (3, "twice"))}})
-
-
-def _answer(batches):
-    """For each block's values of a bucket, one bit: whether the value recurs, in that block or another."""
-    rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("bucket", "block", "check", "values", "more", "twice")), strict=True))
-    for bucket, own in groupby(rows, key=lambda r: r[0]):
-        own = list(own)
-        values = [np.frombuffer(r[3], np.uint64) for r in own]
-        sizes = [len(x) for x in values]
-        key = np.concatenate(values)
-        more = np.frombuffer(b"".join(r[4] for r in own), np.uint64)
-        twice = np.concatenate([np.unpackbits(np.frombuffer(r[5], np.uint8), count=n) for r, n in zip(own, sizes, strict=True)]).astype(bool)
-        order = np.lexsort((more, key)) if len(more) else np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        if len(more):
-            same &= more[order][1:] == more[order][:-1]
-        recurs = twice.copy()
-        recurs[order[1:][same]] = recurs[order[:-1][same]] = True
-        bits = [np.packbits(x).tobytes() for x in np.split(recurs, np.cumsum(sizes)[:-1])]
-        yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in own], pa.int64()), pa.array([r[2] for r in own], pa.int64()), pa.array([bucket] * len(own), pa.int32()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], ["block", "check", "bucket", "n", "bits"])
-
-
-def _bits(answers: pa.Table, kind: int, check: int) -> np.ndarray | None:
-    """The bits of one kind in the order of the values that were sent."""
-    rows = sorted((r["bucket"], r["n"], r["bits"], r["check"]) for r in answers.select(["kind", "bucket", "n", "bits", "check"]).to_pylist() if r["kind"] == kind)
-    if any(r[3] != check for r in rows):
-        raise RuntimeError("documents were read in other blocks the second time; give a table or a checkpoint")
-    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x, _ in rows]).astype(bool) if rows else None
+def _located(rows: list[tuple[int, bytes, bytes]], before: bytes | None) -> pa.RecordBatch:
+    """block, ranges of a shard's rows (block, starts, words); before: words that stood in an earlier shard too."""
+    known = defaultdict(count().__next__)
+    piece = [known[words] for _, _, words in rows]
+    places = np.zeros(len(known), np.int64)
+    starts = [np.frombuffer(x, "<i4").astype(np.int64) for _, x, _ in rows]
+    np.add.at(places, piece, [len(x) for x in starts])
+    if before in known:
+        places[known[before]] += 1
+    ranges = Shard(list(known), places).ranges()
+    found = defaultdict(list)
+    for (block, _, _), i, at in zip(rows, piece, starts, strict=True):
+        if len(ranges[i]):
+            found[block].append((at[:, None, None] + ranges[i][None]).reshape(-1, 2))
+    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([np.concatenate(x).astype("<i4").tobytes() for x in found.values()], pa.binary())], ["block", "ranges"])
+
+
+def _shards(batches):
+    """Rows sorted by key, gathered to shards of about SHARD_BYTES. A key's rows stay together, but for those of
+    a single window, which is known to recur from its second place on."""
+    rows, size, now, places = [], 0, None, 0
+    before = None
+    for batch in batches:
+        for key, hot, block, starts, words in zip(*(batch.column(c).to_pylist() for c in ("key", "hot", "block", "starts", "words")), strict=True):
+            if size >= SHARD_BYTES and (key != now or hot and places > 1):
+                last = rows[-1][2]
+                yield _located(rows, before)
+                rows, size, before = [], 0, last if key == now else None
+            if key != now:
+                now, places = key, 0
+            rows.append((block, starts, words))
+            size += len(words) + len(starts)
+            places += len(starts) // 4
+    if rows:
+        yield _located(rows, before)
 
 
 def remove_recurring(docs: DataFrame) -> DataFrame:
@@ -203,63 +223,68 @@ def remove_recurring(docs: DataFrame) -> DataFrame:
     else too: in another row or the same, overlaps included. Windows are judged on the input.
 
     Null and empty texts have no words. Rows that repeat are documents like any other, so all their
-    windows recur. Other columns are ignored; an empty table gives an empty result. docs is read several
-    times and must give the same rows in the same partitions, as tables do; if it did not, the run would
-    end with an error. Windows are told apart by hashes of 128 bits.
+    windows recur. Other columns are ignored; an empty table gives an empty result. docs is read once: its
+    blocks are written to the checkpoint folder and read from there. Hashes choose what is compared; words
+    alone decide. A block holds one text at least, whole, so a worker needs some 40 bytes for each byte
+    of the longest text.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(64, total // BUCKET_BYTES)
-    sent = "block bigint, check bigint, bucket int, values binary, more binary, twice binary"
-    told = "block bigint, check bigint, bucket int, n int, bits binary"
-
-    def anchors(batches):
-        for block, _, texts in _blocks(batches):
-            own = Block(texts)
-            own.find_anchors()
-            values, twice = own.anchors()
-            yield _sent(block, _check(texts), values, values[:0], twice, buckets)
 
     def store(batches):
         for block, ids, texts in _blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([_check(texts)], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([pack_strings(texts)], pa.binary())], ["block", "check", "doc_ids", "texts"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([pack_strings(texts)], pa.binary())], ["block", "doc_ids", "texts"])
 
-    def opened(left: pa.Table) -> tuple[Block, dict]:
-        row = left.to_pylist()[0]
-        row["texts"] = unpack_strings(row["texts"])
-        own = Block(row["texts"])
+    def anchors(batches):
+        for batch in batches:
+            for block, texts in zip(batch.column("block").to_pylist(), batch.column("texts"), strict=True):
+                own = Block(unpack_strings(texts.as_py()))
+                own.find_anchors()
+                values, places = own.anchors()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), block)), pa.array(values.view(np.int64)), pa.array(places)], ["block", "anchor", "places"])
+
+    def cut_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Block(unpack_strings(left.column("texts")[0].as_py()))
         own.find_anchors()
-        return own, row
-
-    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, row = opened(left)
-        values, _ = own.anchors()
-        bits = _bits(right, 1, row["check"])
-        a, b, twice, _ = own.windows(own.candidates(values, bits if bits is not None else np.zeros(len(values), bool)))
-        return pa.Table.from_batches([_sent(row["block"], row["check"], a, b, twice, buckets)])
+        rows = own.pieces(right.column("anchor").to_numpy().view(np.uint64), right.column("hot").to_numpy(zero_copy_only=False))
+        columns = [pa.array([r[j] for r in rows], t) for j, t in ((0, pa.int64()), (1, pa.bool_()), (2, pa.binary()), (3, pa.binary()))]
+        return pa.table([*columns, pa.array([left.column("block")[0].as_py()] * len(rows), pa.int64())], ["key", "hot", "starts", "words", "block"])
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, row = opened(left)
-        gone = own.decide(_bits(right, 1, row["check"]), _bits(right, 2, row["check"]))
+        own = Block(unpack_strings(left.column("texts")[0].as_py()))
+        edge = np.zeros(len(own.word) + 1, np.int64)
+        for x in right.column("ranges").to_pylist():
+            begin, end = np.frombuffer(x, "<i4").reshape(-1, 2).T
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, end, -1)
+        gone = np.cumsum(edge)[:-1] > 0
         so_far = np.cumsum(np.append(0, ~gone))
         stay, get = own.word[~gone].tolist(), own.words.__getitem__
         begins, ends = so_far[own.ends - own.counts], so_far[own.ends]
-        removed = own.counts - (ends - begins)
         kept = [b" ".join(map(get, stay[b:e])).decode("utf-8", "surrogatepass") for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-        return pa.table({"doc_id": pa.array(row["doc_ids"], left.schema.field("doc_ids").type.value_type), "n_words": pa.array(own.counts), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.string())})
+        ids = left.schema.field("doc_ids").type.value_type
+        return pa.table({"doc_id": pa.array(left.column("doc_ids")[0].as_py(), ids), "n_words": pa.array(own.counts), "n_removed": pa.array(own.counts - (ends - begins)), "kept": pa.array(kept, pa.string())})
 
-    def answered(rows: DataFrame, kind: int) -> DataFrame:
-        return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(_answer), told).withColumn("kind", F.lit(kind))
-
-    blocks = docs.mapInArrow(lean(store), f"block bigint, check bigint, doc_ids array<{kind}>, texts binary")
-    first = cut(answered(docs.mapInArrow(lean(anchors), sent), 1))  # a few bits for each anchor
-    second = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(lean_pair(windows), sent)
-    both = first.unionByName(answered(second, 2))
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(lean_pair(remove), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
+    blocks = cut(docs.select("doc_id", "text").mapInArrow(lean(store), f"block bigint, doc_ids array<{kind}>, texts binary"))
+    seen = cut(blocks.select("block", "texts").mapInArrow(lean(anchors), "block bigint, anchor bigint, places bigint"))
+    recurring = seen.groupBy("anchor").agg(F.sum("places").alias("places")).where("places > 1").select("anchor", (F.col("places") > HOT).alias("hot"))
+    known = seen.join(recurring, "anchor").select("block", "anchor", "hot")
+    parts = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(lean_pair(cut_up), "key bigint, hot boolean, starts binary, words binary, block bigint")
+    found = parts.repartition("key").sortWithinPartitions("key", "words").mapInArrow(lean(_shards), "block bigint, ranges binary")
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(lean_pair(remove), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
 
 
 def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words, removed words and a digest of the rest of every document."""
     done = remove_recurring(read(spark, sf_dir, "documents", "doc_id", "text"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_OP7 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ x AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+ r AS (SELECT win FROM x GROUP BY win HAVING count(*) > 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM x JOIN r USING (win)),
+ k AS (SELECT doc_id, p, ws[p] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM w)),
+ left_ AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM k ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_ USING (doc_id)"""
