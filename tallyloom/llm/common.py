@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: log2 of the bits in a prefilter bitmap: 2^24 bits, so at most 2^18 broadcast rows of 16 bytes.
-BITMAP_LOG2 = 24
+#: Bits of a prefilter's bitmap for each wanted key; log2 of the least and the most bits, 2^22 broadcast rows
+#: of 16 bytes. From 2^25 wanted keys on, more and more rows that are not wanted pass; an exact join follows.
+BITS_A_KEY, LEAST_BITS_LOG2, MOST_BITS_LOG2 = 32, 16, 28
 
 
 def _release() -> None:
@@ -60,13 +61,16 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage: write df in the folder that the cluster names in spark.checkpoint.dir and read it again.
 
-    Only where the setting is missing (tests, a laptop) is a folder made for it. Unlike checkpoint(), the
+    Only on one machine (local[n]: tests, a laptop) is a folder made where the setting is missing. Unlike checkpoint(), the
     table has sizes as they are: estimates of joins, multiplied round after round of a loop, would grow to
     numbers that take the planner minutes. The table goes when the driver ends."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     where = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(where)
     path = sc._jvm.org.apache.hadoop.fs.Path(where)
@@ -77,13 +81,14 @@ def cut(df: DataFrame) -> DataFrame:
 def _marked(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """df with _hit: whether key may be among wanted's (one column); never false for one that is.
 
-    wanted is folded into a bitmap of 2**BITMAP_LOG2 bits. Its size does not depend on the data, so it
+    wanted is folded into a bitmap, whose size follows the number of wanted keys up to a fixed bound: so it
     can always be broadcast, and df is not shuffled. Null keys miss."""
     (name,) = wanted.columns
-    spot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - BITMAP_LOG2)
+    wanted = cut(wanted.where(F.col(name).isNotNull()).distinct())
+    bits = min(MOST_BITS_LOG2, max(LEAST_BITS_LOG2, (BITS_A_KEY * wanted.count()).bit_length()))
+    spot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - bits)
     words = (
-        wanted.where(F.col(name).isNotNull())
-        .select(spot(F.col(name)).alias("_spot"))
+        wanted.select(spot(F.col(name)).alias("_spot"))
         .groupBy(F.shiftright("_spot", 6).alias("_word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_spot & 63 as int))")).alias("_bits"))
     )
@@ -101,17 +106,25 @@ def prefilter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return _marked(df, key, wanted).where("_hit").drop("_hit")
 
 
+def text_hash(text: str = "text") -> Column:
+    """Hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def drop_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose monotonically_increasing_id is in gone (one column); all columns stay,
-    whatever their names.
-
-    Rows that the bitmap clears stay where they are; only the others are joined with gone."""
-    (name,) = gone.columns
-    numbered = docs.select(F.struct("*").alias("row")).withColumn("_at", F.monotonically_increasing_id())
-    marked = _marked(numbered, "_at", gone)
-    unsure = marked.where("_hit")
-    kept = unsure.join(gone, unsure["_at"] == gone[name], "left_anti")
-    return marked.where("not _hit").unionByName(kept).select("row.*")
+    """docs without the rows that are in gone: their monotonically_increasing_id and text_hash(). All
+    columns stay, whatever their names.
+
+    Rows that the bitmap clears stay where they are; only the others are joined with gone. A row whose
+    number is there with another hash shows that docs was read in other partitions before: an error."""
+    row, told = gone.columns
+    gone = cut(gone)
+    numbered = docs.select(F.struct("*").alias("row"), text_hash().alias("_own")).withColumn("_at", F.monotonically_increasing_id())
+    marked = _marked(numbered, "_at", gone.select(row))
+    unsure = marked.where("_hit").join(gone.select(F.col(row).alias("_gone"), F.col(told).alias("_told")), F.col("_at") == F.col("_gone"), "left")
+    moved = F.raise_error(F.lit("documents were read in other partitions the second time; give a table or a checkpoint")).cast("boolean")
+    kept = unsure.where(F.when(F.col("_gone").isNull(), True).when(F.col("_told") == F.col("_own"), False).otherwise(moved))
+    return marked.where("not _hit").select("row.*").unionByName(kept.select("row.*"))
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most_chars: int = 4_000_000, most_rows: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -1,10 +1,12 @@
 """Weighted minwise signatures by darts: every element's weight region is thrown hashed darts, and each
 coordinate keeps the earliest dart that hits.
 
-Weights here are counts of word shingles. A count n is n cells of weight 1, so a region is a row of
-cells. Darts of a cell arrive as a Poisson process of rate 1, made of hashes of the cell alone: texts
-that share a cell share its darts. A text of weight W looks at darts up to time t / W, which are about t
-in all, whatever its length, and takes more time only for coordinates that none has hit.
+Elements are word shingles, weights how often they occur; any weight from 0 on will do. An element's region
+reaches from 0 to its weight and is cut at 1, 2, 4, 8 and so on. Darts arrive in each cut as a Poisson process
+whose rate is the cut's width, made of hashes of the element and the cut alone, so texts that share an
+element share its darts; a dart beyond the text's own weight misses. A text of weight W looks at darts up to
+time t / W: at most 2 t darts in all, whatever its length and its counts, and more time only for coordinates
+that none has hit.
 """
 
 from __future__ import annotations
@@ -47,11 +49,12 @@ def _order(values: np.ndarray, row: np.ndarray) -> np.ndarray:
     return by_value[np.argsort(row[by_value].astype(np.uint16), kind="stable")] if len(row) and row[-1] < 1 << 16 else np.lexsort((values, row))
 
 
-def cells(texts: list[str], ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The cells of all texts (uint64, sorted in each text if ordered) and how many each text has.
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct elements of all texts (uint64, sorted in each text), their weights, and how many each
+    text has.
 
     Words are runs of letters, digits and underscores in lower case. A text of fewer words than SHINGLE
-    is one shingle; a text without words has none."""
+    is one shingle; a text without words is one element, the hash of the whole text."""
     words = [_words(x.lower()) for x in texts]
     counts = np.array([len(w) for w in words], np.int64)
     hashed = np.concatenate([_hash_words(w) for w in words]) if len(words) else np.zeros(0, np.uint64)
@@ -64,42 +67,68 @@ def cells(texts: list[str], ordered: bool = True) -> tuple[np.ndarray, np.ndarra
     first = np.zeros(len(hashed), bool)
     first[(np.cumsum(counts) - counts)[counts > 0]] = True
     whole = (left >= SHINGLE) | first & (counts[row] < SHINGLE)
-    row, total = row[whole], total[whole]
+    bare = np.flatnonzero(counts == 0)
+    if len(bare):
+        row = np.append(row[whole], bare)
+        total = np.append(total[whole], mix(np.array([xxhash.xxh64_intdigest(texts[i].encode("utf-8", "surrogatepass"), seed=1) for i in bare.tolist()], np.uint64)))
+        by_row = np.argsort(row, kind="stable")
+        row, total = row[by_row], total[by_row]
+    else:
+        row, total = row[whole], total[whole]
     order = _order(total, row)
     row, total = row[order], total[order]
-    new = np.append(True, (row[1:] != row[:-1]) | (total[1:] != total[:-1])) if len(row) else np.zeros(0, bool)
-    nth = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
-    out = mix(total + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    if ordered:
-        out = out[_order(out, row)]
-    return out, np.bincount(row, minlength=len(texts)) if len(row) else np.zeros(len(texts), np.int64)
-
-
-def _throw(cell: np.ndarray, text: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All darts before until[text]: text * COORDINATES + coordinate, time and the dart's hash."""
-    found, time, serial = [], np.zeros(len(cell)), 0
-    while len(cell):
-        steps = 1 if len(cell) > 30_000 else 32
+    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (total[1:] != total[:-1]))) if len(row) else np.zeros(0, np.int64)
+    return total[new], np.diff(np.append(new, len(row))).astype(float), np.bincount(row[new], minlength=len(texts))
+
+
+def _regions(element: np.ndarray, weight: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The cuts of all elements: hash, low end, width, the element's weight and its text."""
+    cuts = np.where(weight > 1, np.ceil(np.log2(np.maximum(weight, 1))), 0).astype(np.int64) + 1
+    if (cuts == 1).all():
+        return element, np.zeros(len(element)), np.ones(len(element)), weight, text
+    of = np.repeat(np.arange(len(element)), cuts)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    low = np.where(nth > 0, 2.0 ** (nth - 1), 0.0)
+    return np.where(nth > 0, mix(element[of] + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), element[of]), low, np.maximum(low, 1.0), weight[of], text[of]
+
+
+def _unit(h: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1."""
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def _throw(element: np.ndarray, weight: np.ndarray, text: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All darts that hit before until[text]: text * COORDINATES + coordinate, time and the dart's hash."""
+    region, low, width, weight, text = _regions(element, weight, text)
+    found, time, serial = [], np.zeros(len(region)), 0
+    while len(region):
+        steps = 1 if len(region) > 30_000 else 32
         n = (serial + np.arange(steps, dtype=np.uint64))[None, :]
-        dart = mix(cell[:, None] ^ mix(n + np.uint64(1)))
-        u = ((mix(dart) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
-        times = time[:, None] + np.cumsum(-np.log(u), axis=1)
+        dart = mix(region[:, None] ^ mix(n + np.uint64(1)))
+        times = time[:, None] + np.cumsum(-np.log(_unit(mix(dart))), axis=1) / width[:, None]
         i, j = np.nonzero(times < until[text][:, None])
         hit = dart[i, j]
+        partly = weight[i] < low[i] + width[i]
+        if partly.any():
+            inside = ~partly | (low[i] + width[i] * _unit(mix(hit ^ np.uint64(0x94D049BB133111EB))) < weight[i])
+            i, j, hit = i[inside], j[inside], hit[inside]
         found.append((text[i] * COORDINATES + (hit % np.uint64(COORDINATES)).astype(np.int64), times[i, j], hit))
         alive = times[:, -1] < until[text]
-        cell, text, time, serial = cell[alive], text[alive], times[alive, -1], serial + steps
+        region, low, width, weight, text, time, serial = region[alive], low[alive], width[alive], weight[alive], text[alive], times[alive, -1], serial + steps
     return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
 
 
-def signatures(cell: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """(texts, COORDINATES) hashes of earliest darts; rows of texts without cells are 0."""
+def signatures(element: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, COORDINATES) hashes of earliest darts; rows of texts without elements are 0."""
     out = np.zeros((len(counts), COORDINATES), np.uint64)
     starts = np.cumsum(counts) - counts
     todo, factor = np.flatnonzero(counts), 1.0
+    total = np.zeros(len(counts))
+    if len(todo):
+        total[todo] = np.add.reduceat(weight, starts[todo])
     while len(todo):
         own = np.concatenate([np.arange(starts[i], starts[i] + counts[i]) for i in todo])
-        key, time, dart = _throw(cell[own], np.repeat(np.arange(len(todo)), counts[todo]), factor * DARTS / counts[todo])
+        key, time, dart = _throw(element[own], weight[own], np.repeat(np.arange(len(todo)), counts[todo]), factor * DARTS / total[todo])
         # times of one key are told apart by 32 bits, as good as any
         packed = key.astype(np.uint64) << np.uint64(32) | time.astype(np.float32).view(np.uint32)
         order = np.argsort(packed)
@@ -107,7 +136,7 @@ def signatures(cell: np.ndarray, counts: np.ndarray) -> np.ndarray:
         first = np.append(True, key[1:] != key[:-1]) if len(key) else np.zeros(0, bool)
         part = np.zeros(len(todo) * COORDINATES, np.uint64)
         part[key[first]] = dart[order][first]
-        filled = np.bincount(key[first] // COORDINATES, minlength=len(todo)) == COORDINATES
+        filled = np.bincount(key[first].astype(np.int64) // COORDINATES, minlength=len(todo)) == COORDINATES
         out[todo] = part.reshape(-1, COORDINATES)
         todo, factor = todo[~filled], factor * 2
     return out
@@ -122,7 +151,18 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two texts' sorted cells, which is that of their shingle counts."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared / max(len(a) + len(b) - shared, 1)
+def pack(element: np.ndarray, weight: np.ndarray) -> bytes:
+    """One text's sorted elements and weights."""
+    return element.tobytes() + weight.astype(np.float64).tobytes()
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(data) // 16
+    return np.frombuffer(data, np.uint64, half), np.frombuffer(data, np.float64, half, 8 * half)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two texts: the sum of lesser weights by the sum of greater ones."""
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    shared = float(np.minimum(a[1][i], b[1][j]).sum())
+    return shared / max(float(a[1].sum() + b[1].sum()) - shared, 1e-300)

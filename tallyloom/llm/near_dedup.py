@@ -11,21 +11,20 @@ from tallyloom.llm import dart_minhash as darts
 from tallyloom.llm.common import cut, drop_rows, lean, pieces, prefilter, read, texts_of
 
 SIMILARITY = 0.8
-#: Rows and cells of what is left of a bucket that one task may settle by itself.
-GROUP_ROWS, GROUP_CELLS = 2_000, 4_000_000
+#: Rows and elements of what is left of a bucket that is settled at once, in tiles of about TILE rows.
+GROUP_ROWS, GROUP_CELLS, TILE = 2_000, 4_000_000, 128
 
 
 def _sign(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, text_hash, the digest of the cells (fp1, fp2), their number and the band keys."""
+    """_row, doc_id, text_hash, the digest of the elements and weights (fp1, fp2), their number and the band keys."""
 
     def run(batches):
         for batch in pieces(batches, "text", 1_500_000, 1024):
-            cell, counts = darts.cells(texts_of(batch), ordered=False)
-            keys = darts.band_keys(darts.signatures(cell, counts)).view(np.int64)
-            some = counts > 0
-            sums = [np.zeros(len(counts), np.uint64) for _ in range(2)]
-            for k, total in enumerate(sums):  # the order of a text's cells doesn't matter
-                total[some] = np.add.reduceat(darts.mix(cell ^ np.uint64(k + 1)), (np.cumsum(counts) - counts)[some]) if some.any() else 0
+            element, weight, counts = darts.elements(texts_of(batch))
+            keys = darts.band_keys(darts.signatures(element, weight, counts)).view(np.int64)
+            starts = np.cumsum(counts) - counts  # every text has an element
+            weighed = darts.mix(element ^ darts.mix(weight.view(np.uint64)))
+            sums = [np.add.reduceat(darts.mix(weighed ^ np.uint64(k + 1)), starts) if len(counts) else np.zeros(0, np.uint64) for k in range(2)]
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * darts.BANDS), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("doc_id"), batch.column("text_hash"), *(pa.array(x.view(np.int64)) for x in sums), pa.array(counts), bands], ["_row", "doc_id", "text_hash", "fp1", "fp2", "size", "bands"])
 
@@ -39,8 +38,9 @@ def _cells_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches, "text", 1_500_000, 1024):
-            cell, counts = darts.cells(texts_of(batch))
-            parts = [x.tobytes() for x in np.split(cell, np.cumsum(counts)[:-1])] if len(counts) else []
+            element, weight, counts = darts.elements(texts_of(batch))
+            ends = np.cumsum(counts).tolist()
+            parts = [darts.pack(element[e - n : e], weight[e - n : e]) for e, n in zip(ends, counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(parts, pa.binary())], ["text_hash", "cells"])
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -52,7 +52,7 @@ def _measure(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sims = [darts.similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column("a_cells").to_pylist(), batch.column("b_cells").to_pylist(), strict=True)]
+            sims = [darts.similarity(darts.unpack(x), darts.unpack(y)) for x, y in zip(batch.column("a_cells").to_pylist(), batch.column("b_cells").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sims, pa.float64())], ["a", "b", "sim"])
 
     one = lambda x: cells.select(F.col("text_hash").alias(f"{x}_hash"), F.col("cells").alias(f"{x}_cells"))
@@ -60,13 +60,22 @@ def _measure(pairs: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _settle(group: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Links a, b within small groups: every pair that is not connected yet and, by its members' distances
-    from the leader, could be near is compared."""
+    """Links a, b within groups of bounded size (n): pairs that are not connected yet and, by their distances
+    from the leader, could be near are compared.
+
+    A group is dealt to tiles by a hash, and each two tiles, or one with itself, are a task's work: a row is
+    sent as often as its group has tiles. The same group, met in several bands, is settled once."""
     reach = 1.0 - threshold + 1e-12
+    mine = F.struct(F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"), F.count(F.lit(1)).alias("n"))
+    once = group.groupBy("band", "key").agg(mine.alias("of")).groupBy("of").agg(F.min(F.struct("band", "key")).alias("one")).select("one.*")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = group.join(once, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(2)), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("band", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "text_hash", "tag", "d")
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = sorted(rows.select(["node", "tag", "d", "cells"]).to_pylist(), key=lambda r: r["node"])
-        own = [np.frombuffer(r["cells"], np.uint64) for r in rows]
+        rows = sorted(rows.select(["node", "tile", "tag", "d", "cells"]).to_pylist(), key=lambda r: r["node"])
+        own = [darts.unpack(r["cells"]) for r in rows]
+        weight = [float(w.sum()) for _, w in own]
         top = list(range(len(rows)))
 
         def find(i: int) -> int:
@@ -80,14 +89,16 @@ def _settle(group: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
             if r["tag"] is not None:
                 top[i] = find(first.setdefault(r["tag"], i))
         found = []
+        inside = len({r["tile"] for r in rows}) == 1
         for i, x in enumerate(rows):
             for j in range(i):
-                if find(i) != find(j) and abs(x["d"] - rows[j]["d"]) <= reach and min(len(own[i]), len(own[j])) >= threshold * max(len(own[i]), len(own[j])) and darts.similarity(own[i], own[j]) >= threshold:
+                y = rows[j]
+                if (inside or x["tile"] != y["tile"]) and find(i) != find(j) and abs(x["d"] - y["d"]) <= reach and min(weight[i], weight[j]) >= threshold * max(weight[i], weight[j]) and darts.similarity(own[i], own[j]) >= threshold:
                     top[find(i)] = find(j)
-                    found.append((x["node"], rows[j]["node"]))
+                    found.append((x["node"], y["node"]))
         return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
-    return group.join(cells, "text_hash").select("band", "key", "node", "tag", "d", "cells").groupBy("band", "key").applyInArrow(run, "a bigint, b bigint")
+    return dealt.join(cells, "text_hash").groupBy("band", "key", "low", "high").applyInArrow(run, "a bigint, b bigint")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | None:
@@ -127,12 +138,12 @@ def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | N
         gap = far.groupBy("band", "key").agg(F.min(F.when(apart, F.col("d"))).alias("gap"))
         left = far.join(gap.where("gap is not null"), ["band", "key"]).where(apart | (F.col("gap") <= F.col("d") + reach)).drop("gap", "leader")
         side = F.coalesce("tag", "node")
-        more = left.groupBy("band", "key").agg(F.min(side).alias("low"), F.max(side).alias("high"), ((F.count(F.lit(1)) <= GROUP_ROWS) & (F.sum("size") <= GROUP_CELLS)).alias("small"))
-        left = cut(left.join(more.where("low <> high").select("band", "key", "small"), ["band", "key"]))
+        more = left.groupBy("band", "key").agg(F.min(side).alias("low"), F.max(side).alias("high"), F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) <= GROUP_ROWS) & (F.sum("size") <= GROUP_CELLS)).alias("small"))
+        left = cut(left.join(more.where("low <> high").select("band", "key", "n", "small"), ["band", "key"]))
         small = left.where("small")
         if not small.isEmpty():
             links = links.unionByName(_settle(small, cells, threshold))
-        group = left.where("not small").drop("d", "small")
+        group = left.where("not small").drop("d", "n", "small")
     return links
 
 
@@ -155,19 +166,19 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """Every row of docs(doc_id, text, ...) with its class of near-duplicates.
 
-    Returns doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of a class), _row.
+    Returns doc_id, class_id (the smallest doc_id of the class), class_size, kept (one row of a class), _row and text_hash.
     Similarity is the weighted Jaccard similarity of the counts of five-word shingles. Rows are in one class
     if links of at least the threshold connect them; candidates come from the bands (a pair at 0.8 is missed
     with a chance of about 3 in 100,000), and every link is verified exactly.
 
     Texts with equal shingle counts are one node from the start, so thousands of copies are one row in the
-    bands. Texts without words are classes of their own. Null ids count as larger than all others; a class
+    bands. Texts without words are near their equals alone; null counts as empty. Null ids count as larger than all others; a class
     of null ids has a null class_id. Rows that repeat are members of one class, and one of them is kept.
     Other columns are ignored; an empty table gives an empty result.
     """
     signed = cut(_sign(docs))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    nodes = cut(signed.where("size > 0").groupBy("fp1", "fp2").agg(F.min("_row").alias("node"), first.alias("first"), F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("bands").alias("bands")))
+    nodes = cut(signed.groupBy("fp1", "fp2").agg(F.min("_row").alias("node"), first.alias("first"), F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("text_hash"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     links = _links(docs, nodes, threshold)
     if links is None:
         classes = nodes.select("fp1", "fp2", F.col("first.doc_id").alias("class_id"), F.col("rows").alias("class_size"), F.col("first._row").alias("keep"))
@@ -175,22 +186,15 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame
         labelled = nodes.select("fp1", "fp2", "node", "first", "rows").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
         whole = labelled.groupBy("label").agg(F.min("first").alias("best"), F.sum("rows").alias("class_size"))
         classes = labelled.join(whole, "label").select("fp1", "fp2", F.col("best.doc_id").alias("class_id"), "class_size", F.col("best._row").alias("keep"))
-    own = F.col("size") == 0
-    return signed.select("_row", "doc_id", "fp1", "fp2", "size").join(classes, ["fp1", "fp2"], "left").select(
-        "doc_id",
-        F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(own, F.lit(1)).otherwise(F.col("class_size")).cast("bigint").alias("class_size"),
-        (own | (F.col("_row") == F.col("keep"))).alias("kept"),
-        "_row",
-    )
+    return signed.select("_row", "doc_id", "text_hash", "fp1", "fp2").join(classes, ["fp1", "fp2"]).select("doc_id", "class_id", "class_size", (F.col("_row") == F.col("keep")).alias("kept"), "_row", "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """docs with one row of each class; all columns stay. docs must give the same rows in the same
-    partitions each time it is read, as tables do."""
-    return drop_rows(docs, near_duplicates(docs, threshold).where("not kept").select("_row"))
+    partitions each time it is read, as tables do; if it does not, the run ends with an error."""
+    return drop_rows(docs, near_duplicates(docs, threshold).where("not kept").select("_row", "text_hash"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, class size and survivor of every document."""
-    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("_row")
+    return near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("_row", "text_hash")

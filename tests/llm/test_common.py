@@ -1,6 +1,7 @@
 import os
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm import common as C
@@ -14,12 +15,24 @@ def test_prefilter_keeps_all_wanted(spark):
     assert C.prefilter(df, "k", wanted.limit(0)).count() == 0
 
 
+def test_prefilter_is_sized_by_what_is_wanted(spark, monkeypatch):
+    """A saturated bitmap lets more rows pass, but none that is wanted is lost."""
+    df = spark.range(20_000).selectExpr("id AS k")
+    wanted = spark.range(0, 20_000, 4).selectExpr("id AS w")
+    assert C.prefilter(df, "k", wanted).count() < 7_500
+    monkeypatch.setattr(C, "MOST_BITS_LOG2", 8)
+    assert C.prefilter(df, "k", wanted).count() == 20_000
+
+
 def test_drop_rows(spark):
-    docs = spark.range(1000, numPartitions=3).selectExpr("id AS doc_id", "cast(id as string) AS _bits")
-    ids = {r.doc_id: r.at for r in docs.withColumn("at", F.monotonically_increasing_id()).collect()}
-    gone = spark.createDataFrame([(ids[i],) for i in range(0, 1000, 7)], "gone bigint")
+    docs = spark.range(1000, numPartitions=3).selectExpr("id AS doc_id", "if(id = 9, null, cast(id as string)) AS text", "id AS _bits", "'x' AS _own")
+    ids = {r.doc_id: (r.at, r.h) for r in docs.withColumn("at", F.monotonically_increasing_id()).withColumn("h", C.text_hash()).collect()}
+    gone = spark.createDataFrame([ids[i] for i in range(0, 1000, 7)], "gone bigint, h bigint")
     kept = C.drop_rows(docs, gone)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i in range(1000) if i % 7]
+    with pytest.raises(Exception, match="other partitions"):
+        C.drop_rows(docs.repartition(5, "doc_id"), gone).collect()
+    assert C.drop_rows(docs, gone.limit(0)).count() == 1000 and C.drop_rows(docs.limit(0), gone).count() == 0
 
 
 def test_cut_keeps_rows_and_types(spark):
