@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import quotient
-from tallyloom.llm.common import drop_rows, lean, prefilter, read
+from tallyloom.llm.common import cut, drop_rows, lean, prefilter, read, text_hash
 
 #: The filters are cut into 2**BLOCK_BITS ranges of fingerprints that are merged apart from each other.
 BLOCK_BITS = 12
@@ -51,42 +51,47 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, keep_id, group_size, kept, text_sha256. Null and empty texts are equal. The row of
     the largest doc_id stays; null ids are smaller than all others; of rows that repeat this id, one
-    stays. Other columns are ignored; an empty table gives an empty result. docs must give the same
-    rows in the same partitions each time it is read, as tables do.
+    stays. Other columns are ignored; an empty table gives an empty result.
 
     Fingerprints that the merged filter counts once settle their rows. Texts of the rest alone are
     shuffled, after copies have been combined in each partition, and compared byte by byte. A third of
     all rows in one group is one text a partition here, and a skewed join that AQE splits at the end.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id()).withColumn("_fp", F.xxhash64("text"))
-    repeated = repeated_fingerprints(rows.select("_fp"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_hash().alias("_fp")).withColumn("_row", F.monotonically_increasing_id())
+    # what everything after is decided on: one reading of the rows' numbers, fingerprints and digests
+    thin = cut(rows.select("doc_id", "_row", "_fp", F.unhex(F.sha2("text", 256)).alias("_sha")))
+    repeated = repeated_fingerprints(thin.select("_fp"))
     groups = (
         prefilter(rows, "_fp", repeated.select("fp"))
         .groupBy("_fp", "text")  # the verification: only whole equal texts meet
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "_row")).alias("_keep"))
+        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
-        .select("_fp", F.unhex(F.sha2("text", 256)).alias("_sha"), "keep_id", "group_size", F.col("_keep._row").alias("_keep"))
+        .select("_fp", F.unhex(F.sha2("text", 256)).alias("_sha"), "keep_id", "group_size")
     )
-    thin = rows.select("doc_id", "_row", "_fp", F.unhex(F.sha2("text", 256)).alias("_sha"))
+    met = thin.join(groups, ["_fp", "_sha"], "left")
+    # of a group's rows with the largest id, that of the smallest number
+    best = met.where("group_size is not null and doc_id <=> keep_id").groupBy("_fp", "_sha").agg(F.min("_row").alias("_keep"))
     one = F.col("group_size").isNull()
-    return thin.join(groups, ["_fp", "_sha"], "left").select(
+    return met.join(best, ["_fp", "_sha"], "left").select(
         "doc_id",
         F.when(one, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
         (one | (F.col("_row") == F.col("_keep"))).alias("kept"),
         F.lower(F.hex("_sha")).alias("text_sha256"),
         "_row",
+        F.col("_fp").alias("text_hash"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text another row keeps; all columns stay as they are."""
-    return drop_rows(docs, exact_duplicates(docs).where("not kept").select("_row"))
+    """docs without the rows whose text another row keeps; all columns stay as they are. docs must give the
+    same rows in the same partitions each time it is read; if it does not, the run ends with an error."""
+    return drop_rows(docs, exact_duplicates(docs).where("not kept").select("_row", "text_hash"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, size, survivor and digest of every document."""
-    return exact_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("_row")
+    return exact_duplicates(read(spark, sf_dir, "documents", "doc_id", "text")).drop("_row", "text_hash")
 
 
 ORACLE_OP5 = """

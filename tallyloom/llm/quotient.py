@@ -61,11 +61,29 @@ def decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return fingerprints, counts
 
 
+def _two(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted sequence of distinct fingerprints with counts from two, in one pass over each."""
+    (x, cx), (y, cy) = a, b
+    if not len(x) or not len(y):
+        return a if len(x) else b
+    at = np.searchsorted(x, y)
+    same = x[np.minimum(at, len(x) - 1)] == y
+    added = cx.copy()
+    added[at[same]] += cy[same]
+    place = at[~same] + np.arange(int((~same).sum()))
+    old = np.ones(len(x) + len(place), bool)
+    old[place] = False
+    values, counts = np.empty(len(old), x.dtype), np.empty(len(old), cx.dtype)
+    values[place], counts[place], values[old], counts[old] = y[~same], cy[~same], x, added
+    return values, counts
+
+
 def merge(filters: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted fingerprints of all filters with their added counts; nothing is lost."""
+    """The sorted fingerprints of all filters with their added counts; nothing is lost.
+
+    Filters hold fingerprints in the order of quotient and remainder, so they are merged two by two in that
+    order, in a tree: log2 of their number passes, and no sort."""
     parts = [decode(x) for x in filters]
-    values = np.concatenate([f for f, _ in parts])
-    order = np.argsort(values, kind="stable")  # merges the sorted runs
-    values, counts = values[order], np.concatenate([c for _, c in parts])[order]
-    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.add.reduceat(counts, first) if len(first) else counts
+    while len(parts) > 1:
+        parts = [_two(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0] if parts else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
