@@ -1,3 +1,5 @@
+import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -20,19 +22,39 @@ def plain_counts(text):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(max_size=20), min_size=1, max_size=4))
-def test_counts(texts):
-    got = L.gram_counts(texts)
-    for row, text in zip(got, texts, strict=True):
-        assert {int(i): int(row[i]) for i in np.flatnonzero(row)} == plain_counts(text)
+@given(st.lists(st.text(max_size=20), max_size=4), st.sampled_from([1, 2, 7, 1_000_000]))
+def test_counts(texts, size):
+    whole, L.SLICE = L.SLICE, size  # however a text is cut
+    try:
+        got = L.gram_counts(texts)
+    finally:
+        L.SLICE = whole
+    begins = np.append(0, got.ends[:-1]) if texts else []
+    for a, b, text in zip(begins, got.ends, texts, strict=True):
+        assert dict(zip(got.feature[a:b].tolist(), got.value[a:b].tolist(), strict=True)) == plain_counts(text) and (np.diff(got.feature[a:b]) > 0).all()
+
+
+def sparse(x):
+    at = [np.flatnonzero(r) for r in x]
+    return L.Sparse(np.cumsum([len(a) for a in at]), np.concatenate(at), np.concatenate([r[a] for r, a in zip(x, at, strict=True)]))
+
+
+def test_product(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, w = np.where(rng.random((30, 50)) < 0.2, rng.random((30, 50)), 0), rng.random((50, 3))
+    x[[0, 7, 29]] = 0
+    for gather in (1, 40, 10**6):
+        monkeypatch.setattr(L, "GATHER", gather)
+        assert np.allclose(L.product(sparse(x), w), x @ w)
+    assert np.allclose(L.product(sparse(x).take(np.array([3, 0, 9])), w), (x @ w)[[3, 0, 9]])
 
 
 def test_ftrl_is_sparse_and_right():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 3, 300)
-    x = np.concatenate([np.eye(3)[y] + 0.1 * rng.normal(size=(300, 3)), 0.05 * rng.normal(size=(300, 40)), np.ones((300, 1))], axis=1)
-    w = L.fit_ftrl(x, y, 3, np.arange(300), l1=3e-2)
-    assert ((x @ w).argmax(axis=1) == y).mean() > 0.98 and (w[3:-1] == 0).mean() > 0.8
+    x = np.concatenate([np.eye(3)[y] + 0.1 * rng.normal(size=(300, 3)), 0.05 * rng.normal(size=(300, 40))], axis=1)
+    w = L.fit_ftrl(sparse(x), y, 3, 43, np.arange(300), l1=3e-2)
+    assert ((x @ w[:-1] + w[-1]).argmax(axis=1) == y).mean() > 0.98 and (w[3:-1] == 0).mean() > 0.8
 
 
 def test_held_out_accuracy(spark):
@@ -46,6 +68,71 @@ def test_held_out_accuracy(spark):
     assert abs(np.mean([got[r.doc_id].score for r in held]) - right / len(held)) < 0.03
 
 
+def test_whole_query_by_brute_force(spark):
+    """op8 over sf0.001, where the sample is every learnable row: dense vectors, plain steps of the leader."""
+    sf = "/root/testdata/sf0.001"
+    docs = sorted(spark.read.parquet(f"{sf}/documents.parquet").collect(), key=lambda r: r.doc_id)
+    learn = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None and r.text is not None]
+    bags = {r.doc_id: plain_counts(r.text or "") for r in docs}
+    df = Counter(f for r in learn for f in bags[r.doc_id])
+    place = {f: k for k, f in enumerate(sorted(df))}
+    idf = {f: np.float32(np.log((1 + len(learn)) / (1 + df[f]))) + np.float32(0.1) for f in place}
+    other = np.float32(np.log(1 + len(learn))) + np.float32(0.1)
+
+    def vector(r, exact):
+        v = {f: np.log1p(np.float32(c)) * idf.get(f, other) for f, c in bags[r.doc_id].items()}
+        size = math.sqrt(sum(float(x) ** 2 for x in v.values()))
+        out = np.zeros(len(place) + 1)
+        for f, x in v.items():
+            if f in place:
+                out[place[f]] = x / size if exact else np.float16(x / size)
+        out[-1] = 1.0
+        return out
+
+    langs = sorted({r.lang for r in learn})
+    x, y = np.array([vector(r, False) for r in learn]), np.array([langs.index(r.lang) for r in learn])
+    rows = np.flatnonzero(np.arange(len(y)) % 5 != 4)
+    z, s, rng = np.zeros((x.shape[1], len(langs))), np.zeros((x.shape[1], len(langs))), np.random.default_rng(7)
+    l1, l2 = 2e-4 * len(rows), 1e-5 * len(rows)
+
+    def weights():
+        return np.sign(z) * np.minimum(0, l1 - np.abs(z)) / (l2 + (1 + np.sqrt(s)) / 0.5)
+
+    for _ in range(12):
+        order = rng.permutation(rows)
+        for at in range(0, len(rows), 32):
+            own, w = order[at : at + 32], weights()
+            e = np.exp(x[own] @ w)
+            g = x[own].T @ (e / e.sum(axis=1, keepdims=True) - (y[own][:, None] == np.arange(len(langs))))
+            z += g - (np.sqrt(s + g * g) - np.sqrt(s)) / 0.5 * w
+            s += g * g
+    w = weights()
+    held = np.setdiff1d(np.arange(len(y)), rows)
+
+    def softmax(a):
+        e = np.exp(a - a.max(axis=-1, keepdims=True))
+        return e / e.sum(axis=-1, keepdims=True)
+
+    t = min(np.geomspace(0.02, 10, 120), key=lambda t: -np.log(softmax(x[held] @ w / t)[np.arange(len(held)), y[held]]).mean())
+    got = {r.doc_id: r for r in L.op8_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        p, own = softmax(vector(r, True) @ w / t), got[r.doc_id]
+        known = any(c.isalpha() for c in r.text or "")
+        assert own.lang_pred == (langs[int(p.argmax())] if known else "und") and abs(own.score - (p.max() if known else 0)) < 2e-3
+        assert own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_every_language_is_learnt(spark):
+    """140 languages, each with letters of its own; 20 have fewer rows than the others."""
+    rows = [(140 * j + i, " ".join(f"{chr(0x4E00 + i * 40 + (k * 7 + j) % 40)}{chr(0x4E00 + i * 40 + (k + j) % 40)}" for k in range(40)), f"l{i:03}") for i in range(140) for j in range(8 if i < 20 else 14)]
+    docs = spark.createDataFrame(rows, "key bigint, text string, lang string")
+    model = L.fit_language_model(docs)
+    assert len(model.langs) == 140
+    got = L.identify(docs, model).where("lang_pred = lang").groupBy("lang").count().collect()
+    assert len(got) == 140 and sum(r["count"] for r in got) > 0.97 * len(rows)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en", 1), (2, "", "en", 1), (3, "12 !?", None, 1), (None, "the house", "en", 1), (5, "das haus " * 20_000, "de", 1), (6, "the house", "en", 1), (6, "the house", "en", 1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score int")
