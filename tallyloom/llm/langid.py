@@ -218,7 +218,7 @@ def fit_language_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
 
     Document frequencies are of all rows, and all values of lang are learnt. The weights are fitted on about
     sample_rows rows (whole texts), evenly many of each language as far as it has them, and LEAST_ROWS of
-    each at least. Of this sample a fifth is left out for the temperature. Rows without text or lang are
+    each at least. Of this sample each fifth row of a language is left out for the temperature. Rows without text or lang are
     skipped. The driver holds the sample's features and a weight for each of them and each language."""
     labelled = labelled.where("text is not null and lang is not null").select("text", "lang", F.coalesce("key", F.lit(0)).cast("bigint").alias("key"))
     counts = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
@@ -247,7 +247,10 @@ def fit_language_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> L
     known, column = np.unique(feature, return_inverse=True)
     x = Sparse(np.cumsum([len(r[2]) // 4 for r in rows], dtype=np.int64), column, np.frombuffer(b"".join(r[3] for r in rows), "<f2").astype(np.float32))
     del rows
-    apart = np.arange(len(y)) % 5 == 4
+    by_lang = np.argsort(y, kind="stable")
+    nth = np.empty(len(y), np.int64)
+    nth[by_lang] = np.arange(len(y)) - np.searchsorted(y[by_lang], y[by_lang])
+    apart = nth % 5 == 4
     weights = fit_ftrl(x, y, len(langs), len(known), np.flatnonzero(~apart)).astype(np.float32)
     held = np.flatnonzero(apart)
     temperature = float(fit_temperature(product(x.take(held), weights[:-1]) + weights[-1], y[apart]))
