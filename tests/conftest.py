@@ -2,6 +2,9 @@ import os
 import sys
 from pathlib import Path
 
+# small products: threads of a numeric library wait for each other longer than they compute
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
