@@ -30,7 +30,7 @@ from tallyloom.llm.common import cut, lean, lean_pair, pack_strings, pieces, rea
 from tallyloom.llm.dart_minhash import mix
 
 #: Words of a window and of the phrases whose least hash is its anchor; bytes of a block and of a shard's pieces.
-WINDOW, PHRASE, BLOCK_BYTES, SHARD_BYTES = 35, 8, 2_000_000, 8_000_000
+WINDOW, PHRASE, BLOCK_BYTES, SHARD_BYTES = 35, 8, 2_000_000, 1_500_000
 #: Windows of a piece at most; places of an anchor from which its windows are dealt out one by one.
 RUN, HOT = 64, 4_000
 
