@@ -1,9 +1,10 @@
 """Byte-level BPE: each distinct pre-token is encoded once for the whole corpus, then joined back.
 
-The data move in blocks, not in rows of one word: a block is a few million bytes of documents. It
-explodes its texts into pre-tokens with positions, keeps them as indices into its own distinct words, and sends each distinct word to the bucket of its hash. A bucket encodes every distinct word
-once and answers each block; the block puts the ids back by position. A frequent word is one entry of
-each block, so there is no hot key.
+The data move in blocks, not in rows of one word: a block is a few million bytes of documents. It explodes
+its texts into pre-tokens with positions, keeps them as indices into its own distinct words, and sends each
+distinct word to the bucket of its hash. A bucket encodes every distinct word once and answers each block; the
+block puts the ids back by position. A frequent word is one entry of each block, so there is no hot key.
+Decoding knows nothing of words: it joins every id with the table of the tokens' bytes.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyloom.llm.common import lean, lean_pair, pack_strings, pieces, read, texts_of, unpack_strings
 
-#: Bytes of text in a block, and buckets of distinct words. A bucket's words have to fit one worker.
-BLOCK_BYTES, BUCKETS = 6_000_000, 512
+#: Bytes of text in a block; of corpus for each bucket of distinct words; the fewest and the most buckets.
+BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 6_000_000, 16_000_000, (128, 1 << 16)
+#: Words that a bucket remembers at once; beyond, which takes more than 10^11 distinct ones, some are encoded anew.
+REMEMBERED = 2_000_000
 
 
 _OTHER = re.compile("[^\x00-\x1b\x20-\x84\x86-\x9f\xa1-\xff]")
@@ -46,8 +50,13 @@ class Ranks:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._split = regex.compile(public_tokenizers.PATTERN).findall
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.token_bytes = {i: b for b, i in ranks.items()}
-        self.wire = np.dtype("<u2" if max(self.token_bytes) < 1 << 16 else "<u4")  # of ids on their way
+        self.wire = np.dtype("<u2" if max(ranks.values()) < 1 << 16 else "<u4")  # of ids on their way
+        # the token-byte table: bytes of all tokens in the order of their ids, where each begins and its length
+        order = sorted(ranks, key=ranks.__getitem__)
+        self._bytes = np.frombuffer(b"".join(order), np.uint8)
+        self._length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._length[[ranks[x] for x in order]] = [len(x) for x in order]
+        self._begin = np.cumsum(self._length) - self._length
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens. In Latin-1 without the spaces on which libraries differ, re does it faster."""
@@ -57,8 +66,17 @@ class Ranks:
         """The word's ids as they travel."""
         return np.array(self.encoding._encode_single_piece(word), self.wire).tobytes()
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, self.wire).tolist()))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids, by a join with the token-byte table; an id that it doesn't have is an error."""
+        out = []
+        for at in range(0, len(ids), 200_000):
+            some = ids[at : at + 200_000]
+            if len(some) and (some.max() >= len(self._length) or not self._length[some].all()):
+                raise ValueError("an id without bytes")
+            size = self._length[some]
+            place = np.repeat(self._begin[some] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out.append(self._bytes[place].tobytes())
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
@@ -107,17 +125,20 @@ def _from_planes(data: bytes) -> list[np.ndarray]:
     return np.split(np.ascontiguousarray(planes.T).view("<u4").ravel(), np.cumsum(lengths)[:-1]) if n else []
 
 
-def encode_corpus(docs: DataFrame, ranks: str, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit), decoded (binary) of every row.
+def encode_corpus(docs: DataFrame, ranks: str, buckets: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit) of every row.
 
-    ids are what tiktoken's encode_ordinary gives for docs' text with the rank file at ranks; decoded
-    are the bytes of these ids by the file's table. Null and empty texts have no ids. Rows that repeat,
+    ids are what tiktoken's encode_ordinary gives for docs' text with the rank file at ranks. The number of
+    buckets follows the bytes of text, if it isn't given. Null and empty texts have no ids. Rows that repeat,
     or have no doc_id, are encoded each by itself; other columns are ignored; an empty table gives an
     empty result. docs is read twice and must give the same rows in the same partitions, as tables do;
     if it did not, the run would end with an error, not with wrong ids.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     docs = docs.select("doc_id", "text")
+    if buckets is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(BUCKETS[1], max(BUCKETS[0], total // BUCKET_BYTES))
 
     def words(batches):
         for block, _, own, hashes, _ in _blocks(batches, ranks, buckets):
@@ -138,6 +159,8 @@ def encode_corpus(docs: DataFrame, ranks: str, buckets: int = BUCKETS) -> DataFr
                 ids = []
                 for w in unpack_strings(own):
                     if w not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
                         known[w] = encode(w)
                     ids.append(known[w])
                 out.append(pack_strings(ids))
@@ -160,24 +183,38 @@ def encode_corpus(docs: DataFrame, ranks: str, buckets: int = BUCKETS) -> DataFr
         place = np.empty(len(sent), np.int64)
         place[np.argsort(np.frombuffer(zstandard.decompress(kept["buckets"]), "<u2"), kind="stable")] = np.arange(len(sent))
         ids = [sent[i] for i in place.tolist()]
-        back = [own.decode(x) for x in ids]
-        n, out, text = [], [], []
+        n, out = [], []
         for x in _from_planes(kept["index"]):
-            at = x.tolist()
-            out.append(np.frombuffer(b"".join(map(ids.__getitem__, at)), own.wire).astype("<u4").tobytes())
-            text.append(b"".join(map(back.__getitem__, at)))
+            out.append(np.frombuffer(b"".join(map(ids.__getitem__, x.tolist())), own.wire).astype("<u4").tobytes())
             n.append(len(out[-1]) // 4)
-        return pa.table({"doc_id": pa.array(kept["doc_ids"], left.schema.field("doc_ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(out, pa.binary()), "decoded": pa.array(text, pa.binary())})
+        return pa.table({"doc_id": pa.array(kept["doc_ids"], left.schema.field("doc_ids").type.value_type), "n_tokens": pa.array(n, pa.int64()), "ids": pa.array(out, pa.binary())})
 
     asked = docs.mapInArrow(lean(words), "block bigint, check bigint, bucket int, words binary")
     answers = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(answer), "block bigint, check bigint, bucket int, ids binary")
     placed = docs.mapInArrow(lean(positions), f"block bigint, check bigint, doc_ids array<{kind}>, buckets binary, index binary")
-    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_pair(rebuild), f"doc_id {kind}, n_tokens bigint, ids binary, decoded binary")
+    return placed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean_pair(rebuild), f"doc_id {kind}, n_tokens bigint, ids binary")
+
+
+def decode_corpus(encoded: DataFrame, ranks: str) -> DataFrame:
+    """encoded(ids, ...) with decoded, the bytes of each row's ids (binary as encode_corpus gives them).
+
+    Every id of every row is joined with the token-byte table of the rank file, which has a fixed size and is
+    with each worker, so nothing is shuffled. Null ids give null, no ids no bytes; an id that the table
+    doesn't have ends the query. A column decoded is replaced, others stay; an empty table gives an empty result."""
+    encoded = encoded.drop("decoded")
+
+    def run(batches):
+        own = ranks_of(ranks)
+        for batch in pieces(batches, "ids", 4_000_000, 4096):
+            yield batch.append_column("decoded", pa.array([None if x is None else own.decode(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()], pa.binary()))
+
+    return encoded.mapInArrow(lean(run), T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())]))
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
     import public_tokenizers
 
-    done = encode_corpus(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = decode_corpus(encode_corpus(read(spark, sf_dir, "documents", "doc_id", "text"), ranks), ranks)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
