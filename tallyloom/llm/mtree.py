@@ -8,17 +8,17 @@ Each shard of the rows has its own M-tree; a query visits all shards, and their
 from __future__ import annotations
 
 import heapq
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import lean, read
+from tallyloom.llm.common import cut, lean, read
 
-#: Rows of a leaf page and children of an inner page; rows of a shard.
-PAGE, FANOUT, SHARD_ROWS = 512, 16, 25_000
+#: Rows of a leaf page and children of an inner page; rows of a shard; queries that one task asks a shard.
+PAGE, FANOUT, SHARD_ROWS, QUERIES = 512, 16, 25_000, 500
 
 
 class _Node:
@@ -60,8 +60,9 @@ class MTree:
         points = pivots[kept]
         return _Node(points, np.sqrt(((points - parent) ** 2).sum(axis=1)), children=[n for n, _ in loaded], radii=np.array([r for _, r in loaded])), float(to_parent.max())
 
-    def search(self, query: np.ndarray, k: int, without: int | None = None) -> list[tuple[int, int]]:
-        """The k best (inner product, id), ties to smaller ids, without one id.
+    def search(self, query: np.ndarray, k: int, without: int | None = None, least: int | None = None) -> list[tuple[int, int]]:
+        """The k best (inner product, id), ties to smaller ids, without one id. least: a score that k others
+        are known to reach, so lower ones may be left out.
 
         Best first by the least possible distance. An entry whose stored distance to its routing object
         already rules it out, by the triangle inequality, is passed over without computing its own."""
@@ -71,7 +72,7 @@ class MTree:
         square = float(q @ q) + self.most
         slack = 1e-9 * (square + 1.0)
         best: list[tuple[int, int]] = []  # a heap of (score, -id)
-        limit = np.inf
+        limit = np.inf if least is None else np.sqrt(max(square - 2 * least + slack, 0.0)) + 1e-9
 
         def measure(points: np.ndarray) -> np.ndarray:
             self.distances += len(points)
@@ -102,7 +103,7 @@ class MTree:
                     elif (score, -i) > best[0]:
                         heapq.heapreplace(best, (score, -i))
                 if len(best) == k:
-                    limit = np.sqrt(max(square - 2 * best[0][0] + slack, 0.0)) + 1e-9
+                    limit = min(limit, np.sqrt(max(square - 2 * best[0][0] + slack, 0.0)) + 1e-9)
                 continue
             open_ = np.flatnonzero(reach - node.radii <= limit)
             distance = measure(node.points[open_])
@@ -117,43 +118,67 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, shard_rows: int = SHARD_R
     """query_id, rank, vec_id, score: each query's k largest integer inner products over all other rows.
 
     rows and queries: vec_id long, vector array<bigint>. Ties go to smaller ids. A row is never its own
-    query's answer (equal vec_id). Rows that repeat both columns count once; a query id
-    with several vectors gets the best over all of them. Null vectors, null ids and
-    vectors with null components take no part; a query meets the rows of its own dimension only. Empty
-    tables give an empty result. Sums have to fit 64 bits.
-
-    Rows are dealt to shards by a hash of the id, evenly whatever the data are; each shard loads one
-    M-tree and searches it for every block of queries: that is the stated query set against all rows.
+    query's answer (equal vec_id). Rows that repeat count each; queries that repeat are asked once; a query id
+    with several vectors gets the best over all of them. Null vectors, null ids and vectors with null
+    components take no part; a query meets the rows of its own dimension only. Empty tables give an empty
+    result. Sums have to fit 64 bits.
+
+    Rows are dealt to shards by a hash of the id, evenly whatever the data are. First one shard answers all
+    queries; the k-th best score of its answers is where the search of all other shards begins. A task loads
+    one shard's M-tree and asks it some QUERIES queries, so tasks are shards x blocks of queries and answers
+    leave as they come: that is the stated query set against all rows.
     """
-    sound = lambda df: df.where("vec_id is not null and vector is not null and not exists(vector, x -> x is null)").select("vec_id", "vector").distinct()
-    rows, queries = sound(rows), sound(queries)
+    sound = lambda df: df.where("vec_id is not null and vector is not null and not exists(vector, x -> x is null)").select("vec_id", "vector", F.size("vector").alias("dim"))
+    rows, queries = sound(rows), sound(queries).distinct()
     shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "vec_id", "vector")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "vector")
+    blocks = max(1, -(-queries.count() // QUERIES))
+    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    dealt = rows.select(shard.alias("shard"), every, F.lit(False).alias("asks"), "dim", "vec_id", "vector", F.lit(None).cast("bigint").alias("least"))
 
     def search(batches):
         def entries():
+            names = ("shard", "block", "dim", "asks", "vec_id", "least")
             for batch in batches:
-                for shard, asks, dim, i, v in zip(batch.column("shard").to_pylist(), batch.column("asks").to_pylist(), batch.column("dim").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("vector"), strict=True):
-                    yield shard, dim, asks, i, v.values.to_numpy(zero_copy_only=False) if v.values is not None else np.zeros(0, np.int64)
-
-        for (_, dim), own in groupby(entries(), key=lambda x: x[:2]):
-            tree, out = None, []
-            for asks, part in groupby(own, key=lambda x: x[2]):
-                part = list(part) if not asks else part
-                if not asks:
-                    tree = MTree(np.array([x[4] for x in part]).reshape(len(part), dim), np.array([x[3] for x in part]))
-                elif tree is not None:
-                    for _, _, _, i, q in part:
-                        out += [(i, v, s) for s, v in tree.search(q, k, without=i)]
-            for at in range(0, len(out), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out[at : at + 10_000]], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    both = dealt.unionByName(asked).withColumn("dim", F.size("vector"))
-    found = both.repartition("shard").sortWithinPartitions("shard", "dim", "asks").mapInArrow(lean(search), "query_id bigint, vec_id bigint, score bigint")
-    # the limit on the rank reaches below the shuffle: a task sends k rows of a query at most
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                for shard, block, dim, asks, i, least, v in zip(*(batch.column(c).to_pylist() for c in names), batch.column("vector"), strict=True):
+                    yield (shard, block, dim), asks, i, least, v.values.to_numpy(zero_copy_only=False) if v.values is not None else np.zeros(0, np.int64)
+
+        def answers():
+            for (_, _, dim), own in groupby(entries(), key=lambda x: x[0]):
+                tree = None
+                for asks, part in groupby(own, key=lambda x: x[1]):
+                    if not asks:
+                        part = list(part)
+                        tree = MTree(np.array([x[4] for x in part]).reshape(len(part), dim), np.array([x[2] for x in part]))
+                    elif tree is not None:
+                        for _, _, i, least, q in part:
+                            for score, v in tree.search(q, k, without=i, least=least):
+                                yield i, v, score
+
+        told = answers()
+        while some := list(islice(told, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in some], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
+
+    def found(rows: DataFrame, asked: DataFrame) -> DataFrame:
+        both = rows.unionByName(asked.select("shard", "block", F.lit(True).alias("asks"), "dim", "vec_id", "vector", "least"))
+        return both.repartition("shard", "block").sortWithinPartitions("shard", "block", "dim", "asks").mapInArrow(lean(search), "query_id bigint, vec_id bigint, score bigint")
+
+    first = cut(found(dealt.where("shard = 0"), asked.select("*", F.lit(0).alias("shard"), F.lit(None).cast("bigint").alias("least"))))
+    if shards == 1:
+        answers = first
+    else:
+        # a query's k-th best there; of an id with several vectors each has k answers, and the k-th of all counts
+        least = best_of(first, "query_id", k).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("least"))
+        others = F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("shard")
+        answers = first.unionByName(found(dealt.where("shard > 0"), asked.join(least, "vec_id", "left").select("*", others)))
+    return best_of(answers, "query_id", k).select("query_id", "rank", "vec_id", "score")
+
+
+def best_of(found: DataFrame, query: str, k: int) -> DataFrame:
+    """found with rank, up to k. The limit reaches below the shuffle: a task sends k rows of a query at most."""
+    order = Window.partitionBy(query).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def quantised(embeddings: DataFrame) -> DataFrame:

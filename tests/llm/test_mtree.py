@@ -15,6 +15,8 @@ def test_search_is_exact(n, dims, k, spread, seed):
     for without in (None, int(ids[0])):
         want = sorted((-int(s), int(i)) for s, i in zip(x @ q, ids, strict=True) if i != without)[:k]
         assert tree.search(q, k, without) == [(-s, i) for s, i in want]
+        if len(want) == k:  # a score that k rows reach changes nothing
+            assert tree.search(q, k, without, least=-want[-1][0])[:k] == [(-s, i) for s, i in want]
 
 
 def test_bounds_spare_distances():
@@ -38,3 +40,18 @@ def test_odd_rows(spark):
     got = sorted(tuple(r) for r in M.top_k(rows, rows.where("vec_id % 50 = 0"), 2, shard_rows=2).collect())
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536)]
     assert M.top_k(rows.limit(0), rows, 2).count() == 0
+
+
+def test_many_shards(spark, monkeypatch):
+    """Shards, blocks of queries and the first shard's scores against brute force; rows that repeat count each."""
+    monkeypatch.setattr(M, "QUERIES", 3)
+    rng = np.random.default_rng(4)
+    x = rng.integers(-20, 20, (300, 5))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 2
+    df = spark.createDataFrame(rows, "vec_id bigint, vector array<bigint>")
+    got = sorted(tuple(r) for r in M.top_k(df, df.where("vec_id % 20 = 0"), 5, shard_rows=40).collect())
+    want = []
+    for q in range(0, 300, 20):
+        best = sorted((-int(np.dot(x[q], v)), i) for i, v in rows if i != q)[:5]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == want
