@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,15 +26,29 @@ def format_month(index: Column) -> Column:
     return F.concat(F.lpad(year, 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"))
 
 
+def _small_hundredths(avg: Column) -> Column:
+    """The hundredths of 0 <= avg < 1/16, rounded: how many of 0.005, 0.015 and so on are below the double.
+
+    No double is such a threshold, and the one nearest to it is above or below, which is settled here."""
+    reached = []
+    for k in range(7):
+        exact = Fraction(2 * k + 1, 200)
+        near = float(exact)
+        reached.append((avg >= near if Fraction(near) > exact else avg > near).cast("bigint"))
+    return reduce(Column.__add__, reached)
+
+
 def avg_printf2(total: Column, count: Column) -> Column:
-    """total / count as a double, then as text with two decimals, exactly as C's printf("%.2f").
+    """total / count as a double, then as text with two decimals, exactly as C's printf("%.2f"); for every
+    double of a magnitude below 2^63.
 
     That rounds the double's own binary value half to even, which no rounding function here does. The
-    fraction of a double of 1 or more is a whole number of 2^-52, so it is rounded in integers. Below 1,
-    the unit is 2^-56, which is exact from 1/16 on; smaller averages, which lengths of 1 or more can't
-    have, are not supported.
+    fraction of a double of 1 or more is a whole number of 2^-52, so it is rounded in integers. From 1/16
+    to 1 the unit is 2^-56; below, the double is compared with the few thresholds there are. The sign
+    stands before the rounded magnitude, as in C (-0.00).
     """
-    avg = total / count
+    signed = total / count
+    avg = F.abs(signed)
     whole = F.floor(avg).cast("bigint")
     small = whole == 0
     unit = F.when(small, F.lit(1 << 56)).otherwise(F.lit(1 << 52)).cast("bigint")
@@ -39,9 +56,10 @@ def avg_printf2(total: Column, count: Column) -> Column:
     q = F.when(small, F.shiftright(part, 56)).otherwise(F.shiftright(part, 52))
     r = part - q * unit
     up = (r * 2 > unit) | ((r * 2 == unit) & (q % 2 == 1))
-    hundredths = whole * 100 + q + F.when(up, 1).otherwise(0)
-    rest = hundredths % 100
-    return F.concat(((hundredths - rest) / 100).cast("bigint").cast("string"), F.lit("."), F.lpad(rest.cast("string"), 2, "0"))
+    hundredths = F.when(avg < 0.0625, _small_hundredths(avg)).otherwise(q + F.when(up, 1).otherwise(0))
+    carry = hundredths == 100
+    text = F.concat((whole + F.when(carry, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad(F.when(carry, 0).otherwise(hundredths).cast("string"), 2, "0"))
+    return F.when(signed < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def format_record(channel: Column, month: Column, low: Column, avg: Column, high: Column, count: Column, stamps: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +28,17 @@ def session(name: str = "tallyloom", cores: int | str = "*", partitions: int = 8
     )
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path for tables between queries: in spark.checkpoint.dir, which all executors share.
+
+    Only on one machine (local, local[n]) is a folder of its own made where the setting is missing."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not shared and master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4().hex}"
+
+
 def share_path(spark: SparkSession) -> SparkSession:
     """Let Python workers that start from now on import this package from where the driver has it.
 

@@ -72,9 +72,3 @@ def messages_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("bigint").alias("message_length"),
         F.col("l_linenumber").cast("bigint").alias("stamp_count"),
     )
-
-
-def messages_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a message of the channel source/lang, for profiles that need no time."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select(F.lit(0).cast("bigint").alias("unix_timestamp"), F.concat_ws("/", "source", "lang").alias("channel_path"), F.col("n_chars").cast("bigint").alias("message_length"), F.lit(0).cast("bigint").alias("stamp_count"))

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -15,20 +13,37 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def write_single_text(lines: DataFrame, path: str) -> None:
-    """lines(value) as exactly one local file, whatever its size, for results with a row for each group.
-
-    Parts are written in parallel to a folder beside it and joined; the file appears whole or not at all."""
-    folder = tempfile.mkdtemp(dir=os.path.dirname(os.path.abspath(path)))
+    """lines(value) as exactly one file on any file system that Spark writes to, for results with a row for
+    each group.
+
+    Parts are written in parallel to a folder beside it, then joined by the file system's own client, in
+    their order; the file appears whole or not at all."""
+    sc = lines.sparkSession.sparkContext
+    hadoop, conf = sc._jvm.org.apache.hadoop, sc._jsc.hadoopConfiguration()
+    target = hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+    folder = hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     try:
         write_lines(lines, f"{folder}/parts")
-        with open(f"{folder}/whole", "wb") as out:
-            for part in sorted(os.listdir(f"{folder}/parts")):
-                if part.startswith("part-"):
-                    with open(f"{folder}/parts/{part}", "rb") as f:
-                        shutil.copyfileobj(f, out, 1 << 20)
-        os.replace(f"{folder}/whole", path)
+        parts = sorted(str(x.getPath()) for x in fs.listStatus(hadoop.fs.Path(f"{folder}/parts")) if x.getPath().getName().startswith("part-"))
+        fs.setWriteChecksum(False)
+        whole = hadoop.fs.Path(f"{folder}/whole")
+        out = fs.create(whole, True)
+        try:
+            for part in parts:
+                source = fs.open(hadoop.fs.Path(part))
+                try:
+                    hadoop.io.IOUtils.copyBytes(source, out, 1 << 20, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+        fs.delete(target, False)
+        if not fs.rename(whole, target):
+            raise OSError(f"{path}: cannot be written")
     finally:
-        shutil.rmtree(folder, ignore_errors=True)
+        fs.setWriteChecksum(True)
+        fs.delete(folder, True)
 
 
 def append_log(records: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 """The fixed contract: sample, edge cases, rounding, calendar, CSV, sinks, streams, command line."""
 
 import random
+import statistics
 from datetime import UTC, datetime
 
 import pytest
@@ -18,19 +19,24 @@ from tallyloom.streaming import stats
 HEADER = "unix_timestamp,channel_path,message_length,stamp_count\n"
 SAMPLE = HEADER + "1798761600,team/dev/api,120,3\n1798761660,team/dev/api,80,1\n1801440000,team/dev/api,200,0\n1798761720,team/web,50,2\n1798761780,team/web,70,4\n"
 SAMPLE_LINES = ["team/dev/api,2027-01=80/100.00/120/2/4", "team/dev/api,2027-02=200/200.00/200/1/0", "team/web,2027-01=50/60.00/70/2/6"]
-LONG = "/".join(["aZ09_-aZ09_-aZ09_-aZ"] * 5)
+DEEP = "/".join(["Qx7_k-Lm2p0_Zt-Yb3wE"] * 5)
+#: Rows at the contract's bounds and beyond, each with the line that it makes.
 EDGE = [
-    (1801439999, "edge/month-boundary", 10, 1), (1801440000, "edge/month-boundary", 20, 2), (1798761600, "edge/year-start", 5, 0), (1830297599, "edge/year-end", 5, 0),
-    (1798761601, "a", 1, 1), (1798761602, LONG, 12345, 99), (1798761603, "edge/big-numbers", 4000000000, 294967295), (1798761603, "edge/big-numbers", 12345678, 10000000),
-    (1798761606, "b" * 20 + "/" + "c" * 10, 1, 0), (1798761606, "b" * 20 + "/" + "c" * 11, 1, 0), (1798761600, "edge/dup", 50, 5), (1798761600, "edge/dup", 50, 5),
-    *[(1798761600, "edge/tie-even", n, 0) for n in (2, 1, 1, 1, 1, 1, 1, 1)], *[(1798761600, "edge/tie-odd", n, 0) for n in (4, 1, 1, 1, 1, 1, 1, 1)],
-    (1798761600, "null", 1, 0), (1798761600, "NaN", 1, 0), (1798761600, "-", 1, 0), (0, "y/1970", 1, 0), (1835395200, "y/2028", 1, 0), (-1, "y/before", 1, 0),
+    # the second before a month and its first one; a leap day
+    (1806537599, "bound/march-end", 7, 3), (1806537600, "bound/march-end", 31, 4), (1835438399, "bound/leap-day", 2, 1), (1798761600, "bound/first", 6, 0), (1830297599, "bound/last", 8, 0),
+    # the shortest and the longest names, numbers beyond 32 bits in their sum, equal rows
+    (1802131313, "z", 1, 9), (1802131314, DEEP, 54321, 12), (1811111111, "bound/wide", 3999999999, 250000000), (1811111112, "bound/wide", 98765432, 20000001),
+    (1814400000, "bound/same", 33, 2), (1814400000, "bound/same", 33, 2), (1814400000, "bound/same", 33, 2),
+    # means that end in exactly 5 in the third place: 2.625 and 2.875, 0.5 below an even and above an odd hundredth
+    *[(1820000000, "tie/down", n, 0) for n in (3, 3, 3, 3, 3, 2, 2, 2)], *[(1820000000, "tie/up", n, 0) for n in (3, 3, 3, 3, 3, 3, 3, 2)],
+    # names that look like other things; times far away
+    (1825000000, "None", 4, 0), (1825000000, "inf", 4, 0), (1825000000, "_", 4, 0), (86399, "far/first-day", 4, 0), (-86401, "far/two-days-before", 4, 0), (4102444800, "far/2100", 4, 0),
 ]
 EDGE_LINES = {
-    "edge/month-boundary,2027-01=10/10.00/10/1/1", "edge/month-boundary,2027-02=20/20.00/20/1/2", "edge/year-start,2027-01=5/5.00/5/1/0", "edge/year-end,2027-12=5/5.00/5/1/0",
-    "a,2027-01=1/1.00/1/1/1", f"{LONG},2027-01=12345/12345.00/12345/1/99", "edge/big-numbers,2027-01=12345678/2006172839.00/4000000000/2/304967295",
-    f"{'b' * 20}/{'c' * 10},2027-01=1/1.00/1/1/0", f"{'b' * 20}/{'c' * 11},2027-01=1/1.00/1/1/0", "edge/dup,2027-01=50/50.00/50/2/10", "edge/tie-even,2027-01=1/1.12/2/8/0", "edge/tie-odd,2027-01=1/1.38/4/8/0",
-    "null,2027-01=1/1.00/1/1/0", "NaN,2027-01=1/1.00/1/1/0", "-,2027-01=1/1.00/1/1/0", "y/1970,1970-01=1/1.00/1/1/0", "y/2028,2028-02=1/1.00/1/1/0", "y/before,1969-12=1/1.00/1/1/0",
+    "bound/march-end,2027-03=7/7.00/7/1/3", "bound/march-end,2027-04=31/31.00/31/1/4", "bound/leap-day,2028-02=2/2.00/2/1/1", "bound/first,2027-01=6/6.00/6/1/0", "bound/last,2027-12=8/8.00/8/1/0",
+    "z,2027-02=1/1.00/1/1/9", f"{DEEP},2027-02=54321/54321.00/54321/1/12", "bound/wide,2027-05=98765432/2049382715.50/3999999999/2/270000001", "bound/same,2027-07=33/33.00/33/3/6",
+    "tie/down,2027-09=2/2.62/3/8/0", "tie/up,2027-09=2/2.88/3/8/0", "None,2027-10=4/4.00/4/1/0", "inf,2027-10=4/4.00/4/1/0", "_,2027-10=4/4.00/4/1/0",
+    "far/first-day,1970-01=4/4.00/4/1/0", "far/two-days-before,1969-12=4/4.00/4/1/0", "far/2100,2100-01=4/4.00/4/1/0",
 }
 
 
@@ -63,11 +69,11 @@ def test_edge_cases_in_any_zone_and_partitioning(spark, zone):
 
 def test_rounding_is_printf(spark):
     rng = random.Random(4)
-    pairs = [(6839, 40), (9, 8), (11, 8), (1, 1), (1, 3), (1, 16)] + [(rng.randrange(1, 10**rng.randrange(1, 13)), rng.choice([1, 2, 4, 8, 16, 40, 80, 200, 800, 1000, 12345])) for _ in range(20_000)]
-    pairs = [(t, n) for t, n in pairs if t * 16 >= n]
+    pairs = [(6839, 40), (9, 8), (11, 8), (1, 1), (1, 3), (1, 16), (1, 40), (1, 200), (11, 200), (3, 200), (0, 7), (-1, 8), (-1, 1000), (-999, 1000), (199999, 200000), (2**62, 1), (2**62 + 12345, 3), (2**53 + 1, 2)]
+    pairs += [(n, 200) for n in range(-50, 50)] + [(rng.randrange(-200, 200), rng.randrange(1, 5000)) for _ in range(5000)] + [(rng.randrange(1, 10**rng.randrange(1, 13)), rng.choice([1, 2, 4, 8, 16, 40, 80, 200, 800, 1000, 12345])) for _ in range(20_000)]
     df = spark.createDataFrame(pairs, "t bigint, n bigint")
     for r in df.select("t", "n", S.avg_printf2(F.col("t"), F.col("n")).alias("s")).collect():
-        assert r.s == f"{r.t / r.n:.2f}"
+        assert r.s == f"{float(r.t) / float(r.n):.2f}"
 
 
 def test_calendar(spark):
@@ -78,6 +84,35 @@ def test_calendar(spark):
         assert r.m == datetime.fromtimestamp(r.t, UTC).strftime("%Y-%m").rjust(7, "0")
 
 
+def test_hundreds_of_seconds_keep_the_month(spark):
+    """A day has 864 hundreds of seconds, so a time without its last two digits is in the same month."""
+    rng = random.Random(6)
+    ts = [rng.randrange(-(10**10), 10**10) for _ in range(3000)] + [s + d for s in (1798761600, 1806537600, 0) for d in (-101, -100, -99, -1, 0, 1, 99, 100)]
+    df = spark.createDataFrame([(t, t // 100 * 100) for t in ts], "t bigint, u bigint")
+    assert df.where(S.month_index(F.col("t")) != S.month_index(F.col("u"))).count() == 0
+
+
+def test_ranks_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(f"n{i}", rng.choice([1, 1, 1, 2, 3, rng.randrange(1000)])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "name string, score int")
+    want = {n: i + 1 for i, (n, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
+    for parts in (1, 10, 255):
+        got = P.ranked(df, F.struct(-F.col("score"), "name"), "rank", parts)
+        assert {r["name"]: r["rank"] for r in got.collect()} == want
+    assert P.ranked(df.limit(0), F.struct("name"), "rank").count() == 0
+
+
+def test_medians(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(6), rng.randrange(10**9)])) for _ in range(997)] + [("one", 5), ("two", 5), ("two", 8), ("none", None)]
+    got = {r.label: (r["median"], r.runs) for r in P.median_by(spark.createDataFrame(rows, "l string, v bigint"), F.col("l"), F.col("v")).collect()}
+    for label in ("a", "b", None, "one", "two"):
+        own = [v for k, v in rows if k == label and v is not None]
+        assert got.pop(label) == (statistics.median(own), len(own))
+    assert not got
+
+
 @pytest.mark.parametrize("bad", ["1798761600;a,1,1", "x,a,1,1", "1798761600,a,1", "1798761600,a,1,1,1"])
 def test_malformed_rows_end_the_query(spark, tmp_path, bad):
     with pytest.raises(Exception):
@@ -120,6 +155,25 @@ def test_single_file_and_cli(spark, tmp_path):
     assert R.read_messages(spark, str(tmp_path / "g.csv")).count() == 1000
 
 
+def test_cli_verify_and_channels(tmp_path, spark, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "session", lambda _: spark)
+    a, b, c = write(tmp_path, "x\r\ny\n\n", "a.txt"), write(tmp_path, "y\nx\n", "b.txt"), write(tmp_path, "y\ny\n", "c.txt")
+    assert cli.main(["verify", a, b]) == 0 and capsys.readouterr().out == ""
+    assert cli.main(["verify", a, c]) == 1 and capsys.readouterr().out.splitlines() == ["expected: x x1", "actual: y x1"]
+    assert cli.main(["channels", write(tmp_path, SAMPLE)]) == 0
+    shown = capsys.readouterr().out
+    assert "|       2|" in shown and "|          8|  1|" in shown and "|         12|  1|" in shown
+    assert cli.main(["verify", a, str(tmp_path / "absent")]) == 1
+
+
+def test_single_file_of_many_parts(spark, tmp_path):
+    target = f"{tmp_path}/whole.txt"
+    sinks.write_single_text(spark.range(5000, numPartitions=7).selectExpr("cast(id as string) AS value"), target)
+    assert [int(x) for x in open(target)] == list(range(5000)) and sorted(p.name for p in tmp_path.iterdir()) == ["whole.txt"]
+    sinks.write_single_text(spark.range(0).selectExpr("cast(id as string) AS value"), f"file://{target}")
+    assert open(target).read() == ""
+
+
 def test_json_documents(spark, tmp_path):
     board = '{"board":"b","extra":1,"ranked":[{"rank":1,"username":"u","scoreNs":"1500000000"}],"disqualified":[{"username":"v"}]}'
     got = R.read_leaderboard(spark, write(tmp_path, board, "b.json")).orderBy("username").collect()
