@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import os
 import struct
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.session import ROOT, scratch
+
 #: Bits of a prefilter's bitmap for each wanted key; log2 of the least and the most bits, 2^22 broadcast rows
 #: of 16 bytes. From 2^25 wanted keys on, more and more rows that are not wanted pass; an exact join follows.
 BITS_A_KEY, LEAST_BITS_LOG2, MOST_BITS_LOG2 = 32, 16, 28
@@ -53,6 +55,22 @@ def lean_pair(run):
     return kept
 
 
+def share_path(spark: SparkSession) -> SparkSession:
+    """Let Python workers that start from now on import this package from where the driver has it.
+
+    For sessions that somebody else made, in another folder. On a cluster the package is installed, or
+    shipped with --py-files, as usual. Rows are whole texts, so Arrow batches of 10,000 rows, the default,
+    are large outside the heap on both sides; unless the session asks for another number, it gets 2,000."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(batch) == "10000":
+        spark.conf.set(batch, "2000")
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if ROOT not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+    return spark
+
+
 def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     """The named columns of one Parquet table; Spark alone touches the path, so any file system works."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
@@ -67,10 +85,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and sc.master != "local" and not sc.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(scratch(spark))
     where = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.parquet(where)
     path = sc._jvm.org.apache.hadoop.fs.Path(where)

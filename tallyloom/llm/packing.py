@@ -116,6 +116,12 @@ def pack_binary(docs: DataFrame, tokenizer: str, most: int = 2048, end_id: int =
     return made.withColumns({"bucket": F.round(F.log2("length")).cast("int"), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("bigint")})
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """pack_binary's pieces as a table with a folder for each bucket, so that equal lengths lie together and a
+    reader of one length opens one folder. A task writes a file for each bucket that it has; nothing moves."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document, at most 2,048 ids a sequence."""
     import public_tokenizers

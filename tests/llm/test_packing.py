@@ -53,3 +53,11 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.length) for r in got if r.doc_id != 3) == [(0, 1), (0, 2), (1, 1), (2, 1), (4, 2), (4, 2)]
     assert sum(r.length for r in got if r.doc_id == 3) == 60_001
     assert P.pack_binary(docs.limit(0), PATH).count() == 0
+
+
+def test_equal_lengths_lie_together(spark, sf_dir, tmp_path):
+    packed = P.pack_binary(spark.read.parquet(f"{sf_dir}/documents.parquet"), PATH)
+    P.write_buckets(packed, f"{tmp_path}/packed")
+    for folder in (tmp_path / "packed").glob("bucket=*"):
+        assert [r.length for r in spark.read.parquet(str(folder)).select("length").distinct().collect()] == [1 << int(folder.name[7:])]
+    assert spark.read.parquet(f"{tmp_path}/packed").count() == packed.count()

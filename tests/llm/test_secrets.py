@@ -26,6 +26,29 @@ def test_matches_re(texts):
     assert S.spans_of(texts, S.BASE) == [brute(t) for t in texts]
 
 
+MORE = {
+    "github": (re.compile(r"gh[pousr]_([A-Za-z0-9]+)"), 1, 36),
+    "google": (re.compile(r"AIza([A-Za-z0-9_-]+)"), 1, 35),
+    "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 1),
+    "pem": (re.compile(r"-----BEGIN\x20(?:[A-Z]+\x20)*PRIVATE\x20KEY-----"), 0, 1),
+    "slack": (re.compile(r"xox[abprs]-([A-Za-z0-9-]+)"), 1, 10),
+}
+PARTS = st.sampled_from(["ghp_", "gho_", "ghx_", "a1" * 18, "Z" * 35, "AIza", "-" * 35, "_", "eyJ", "eyJab", ".", ".eyJ", "eyJx.eyJy.z", "-----BEGIN ", "RSA ", "EC", " ", "PRIVATE KEY-----", "-----", "xoxb-", "xox", "1234567890", "é", "\n", "x"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(PARTS, max_size=20).map("".join), min_size=1, max_size=6))
+def test_every_rule_matches_re(texts):
+    """All rules at once: each kind's leftmost matches that don't overlap, short ones dropped."""
+    for t, got in zip(texts, S.spans_of(texts, S.RULES), strict=True):
+        want = brute(t)
+        for k, r in enumerate(S.RULES):
+            if r.kind in MORE:
+                pattern, group, least = MORE[r.kind]
+                want += [(m.start(), k, m.end()) for m in pattern.finditer(t) if len(m[group]) >= least]
+        assert got == sorted(want)
+
+
 def test_lanes_meet():
     texts = ["a" * 5000, "token=" + "deadbeef" * 1000, "", "x" * 2047 + "password: 12345678", " " * 4096 + "AKIA" + "Z" * 6000]
     assert S.spans_of(texts, S.BASE) == [brute(t) for t in texts]
