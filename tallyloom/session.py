@@ -37,19 +37,3 @@ def scratch(spark: SparkSession) -> str:
     if not shared and master != "local" and not master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4().hex}"
-
-
-def share_path(spark: SparkSession) -> SparkSession:
-    """Let Python workers that start from now on import this package from where the driver has it.
-
-    For sessions that somebody else made, in another folder. On a cluster the package is installed, or
-    shipped with --py-files, as usual. Rows are whole texts, so Arrow batches of 10,000 rows, the default,
-    are large outside the heap on both sides; unless the session asks for another number, it gets 2,000."""
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(batch) == "10000":
-        spark.conf.set(batch, "2000")
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "")
-    if ROOT not in known.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
-    return spark
