@@ -91,12 +91,12 @@ def scan_csv(spark, sf):
 
 
 @query(f"WITH {_L} {_lines('l')}")
-def flagship_csv_lines(spark, sf):
+def csv_lines(spark, sf):
     return A.lines(A.channel_month_stats(R.read_messages(spark, _as_csv(spark, R.messages_from_lineitem(spark, sf)))))
 
 
 @query(f"WITH {_L} {_lines('l')}")
-def flagship_single_file(spark, sf):
+def csv_single_file(spark, sf):
     """CSV in, one text file out, read again."""
     path = f"{scratch(spark)}.txt"
     write_single_text(A.lines(A.channel_month_stats(R.read_messages(spark, _as_csv(spark, R.messages_from_lineitem(spark, sf))))), path)
