@@ -61,18 +61,20 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     # what everything after is decided on: one reading of the rows' numbers, fingerprints and digests
     thin = cut(rows.select("doc_id", "_row", "_fp", F.unhex(F.sha2("text", 256)).alias("_sha")))
     repeated = repeated_fingerprints(thin.select("_fp"))
-    groups = (
+    groups = cut(
         prefilter(rows, "_fp", repeated.select("fp"))
         .groupBy("_fp", "text")  # the verification: only whole equal texts meet
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
         .select("_fp", F.unhex(F.sha2("text", 256)).alias("_sha"), "keep_id", "group_size")
     )
-    met = thin.join(groups, ["_fp", "_sha"], "left")
-    # of a group's rows with the largest id, that of the smallest number
-    best = met.where("group_size is not null and doc_id <=> keep_id").groupBy("_fp", "_sha").agg(F.min("_row").alias("_keep"))
+    # of a group's rows with the largest id, that of the smallest number; the id in the key spreads a hot group
+    own, best = thin.alias("own"), groups.alias("best")
+    same = (F.col("own._fp") == F.col("best._fp")) & (F.col("own._sha") == F.col("best._sha")) & F.col("own.doc_id").eqNullSafe(F.col("best.keep_id"))
+    first = own.join(best, same).groupBy("best._fp", "best._sha").agg(F.min("own._row").alias("_keep"))
+    settled = cut(groups.join(first, ["_fp", "_sha"]))
     one = F.col("group_size").isNull()
-    return met.join(best, ["_fp", "_sha"], "left").select(
+    return thin.join(settled, ["_fp", "_sha"], "left").select(
         "doc_id",
         F.when(one, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
