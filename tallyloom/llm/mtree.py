@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import cut, lean, read
 
 #: Rows of a leaf page and children of an inner page; rows of a shard; queries that one task asks a shard.
-PAGE, FANOUT, SHARD_ROWS, QUERIES = 512, 16, 25_000, 500
+PAGE, FANOUT, SHARD_ROWS, QUERIES = 512, 16, 10_000, 10_000
 
 
 class _Node:
