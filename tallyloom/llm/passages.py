@@ -202,11 +202,11 @@ def _shards(batches):
     before = None
     for batch in batches:
         for key, hot, block, starts, words in zip(*(batch.column(c).to_pylist() for c in ("key", "hot", "block", "starts", "words")), strict=True):
+            last = rows[-1][2] if rows else before
             if size >= SHARD_BYTES and (key != now or hot and places > 1):
-                last = rows[-1][2]
                 yield _located(rows, before)
                 rows, size, before = [], 0, last if key == now else None
-            if key != now:
+            if key != now or hot and words != last:
                 now, places = key, 0
             rows.append((block, starts, words))
             size += len(words) + len(starts)
