@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import lean, lean_pair, pack_strings, pieces, read, texts_of, unpack_strings
+from tallyloom.llm.common import lean, lean_pair, pack_strings, pieces, read, remembers, texts_of, unpack_strings
 
 #: Bytes of text in a block; of corpus for each bucket of distinct words; the fewest and the most buckets.
 BLOCK_BYTES, BUCKET_BYTES, BUCKETS = 6_000_000, 16_000_000, (128, 1 << 16)
@@ -85,6 +85,9 @@ def ranks_of(path: str) -> Ranks:
     return Ranks(path)
 
 
+remembers(__name__, ranks_of.cache_clear)
+
+
 def _blocks(batches, path: str, buckets: int):
     """block id, doc_ids, distinct words by first use, bucket of each, and of each text the indices of its words."""
     split = ranks_of(path).split

@@ -6,7 +6,7 @@ import ctypes
 import os
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,28 @@ def _release() -> None:
         pass
 
 
+#: What modules remember in a worker between its tasks, and how to forget it.
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def remembers(module: str, forget: Callable[[], None]) -> None:
+    """Have forget called when a worker begins a task of another module."""
+    _remembered[module] = forget
+
+
+def _begin(module: str) -> None:
+    """Workers live on for the tasks of later stages, which have no use for what earlier ones remember."""
+    for other, forget in _remembered.items():
+        if other != module:
+            forget()
+    _release()
+
+
 def lean(run):
     """A function over Arrow batches that releases memory when its partition is done."""
 
     def kept(batches):
+        _begin(run.__module__)
         try:
             yield from run(batches)
         finally:

@@ -27,6 +27,11 @@ _hashes: dict[str, int] = {}
 _REMEMBERED = 100_000
 
 
+def forget() -> None:
+    """Drop the words whose hashes are remembered."""
+    _hashes.clear()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective hash of 64 bits (the finaliser of splitmix64)."""
     x = x + np.uint64(0x9E3779B97F4A7C15)
@@ -82,14 +87,12 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _regions(element: np.ndarray, weight: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The cuts of all elements: hash, low end, width, the element's weight and its text."""
+    """The cuts of all elements: hash, text, low end, width and the element's weight."""
     cuts = np.where(weight > 1, np.ceil(np.log2(np.maximum(weight, 1))), 0).astype(np.int64) + 1
-    if (cuts == 1).all():
-        return element, np.zeros(len(element)), np.ones(len(element)), weight, text
     of = np.repeat(np.arange(len(element)), cuts)
     nth = np.arange(len(of)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
     low = np.where(nth > 0, 2.0 ** (nth - 1), 0.0)
-    return np.where(nth > 0, mix(element[of] + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), element[of]), low, np.maximum(low, 1.0), weight[of], text[of]
+    return np.where(nth > 0, mix(element[of] + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), element[of]), text[of], low, np.maximum(low, 1.0), weight[of]
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -98,24 +101,39 @@ def _unit(h: np.ndarray) -> np.ndarray:
 
 
 def _throw(element: np.ndarray, weight: np.ndarray, text: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All darts that hit before until[text]: text * COORDINATES + coordinate, time and the dart's hash."""
-    region, low, width, weight, text = _regions(element, weight, text)
+    """All darts that hit before until[text]: text * COORDINATES + coordinate, time and the dart's hash.
+
+    Most elements weigh 1 and have one cut, from 0 to 1, which every dart hits."""
+    one = weight == 1
+    found = _arrive(element[one], text[one], until)
+    if not one.all():
+        region, own, low, width, most = _regions(element[~one], weight[~one], text[~one])
+        found += _arrive(region, own, until, low, width, most)
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+
+
+def _arrive(region: np.ndarray, text: np.ndarray, until: np.ndarray, low=None, width=None, weight=None) -> list[tuple]:
+    """Darts of cuts of the given low ends and widths (0 and 1 if None) that fall below the weights."""
     found, time, serial = [], np.zeros(len(region)), 0
     while len(region):
         steps = 1 if len(region) > 30_000 else 32
         n = (serial + np.arange(steps, dtype=np.uint64))[None, :]
         dart = mix(region[:, None] ^ mix(n + np.uint64(1)))
-        times = time[:, None] + np.cumsum(-np.log(_unit(mix(dart))), axis=1) / width[:, None]
+        wait = -np.log(_unit(mix(dart)))
+        if width is not None:
+            wait /= width[:, None]
+        times = time[:, None] + np.cumsum(wait, axis=1)
         i, j = np.nonzero(times < until[text][:, None])
         hit = dart[i, j]
-        partly = weight[i] < low[i] + width[i]
-        if partly.any():
-            inside = ~partly | (low[i] + width[i] * _unit(mix(hit ^ np.uint64(0x94D049BB133111EB))) < weight[i])
+        if width is not None:
+            inside = low[i] + width[i] * _unit(mix(hit ^ np.uint64(0x94D049BB133111EB))) < weight[i]
             i, j, hit = i[inside], j[inside], hit[inside]
         found.append((text[i] * COORDINATES + (hit % np.uint64(COORDINATES)).astype(np.int64), times[i, j], hit))
         alive = times[:, -1] < until[text]
-        region, low, width, weight, text, time, serial = region[alive], low[alive], width[alive], weight[alive], text[alive], times[alive, -1], serial + steps
-    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3))
+        region, text, time, serial = region[alive], text[alive], times[alive, -1], serial + steps
+        if width is not None:
+            low, width, weight = low[alive], width[alive], weight[alive]
+    return found
 
 
 def signatures(element: np.ndarray, weight: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import dart_minhash as darts
-from tallyloom.llm.common import cut, drop_rows, lean, pieces, prefilter, read, texts_of
+from tallyloom.llm.common import cut, drop_rows, lean, pieces, prefilter, read, remembers, texts_of
 
 SIMILARITY = 0.8
+remembers(__name__, darts.forget)
 #: Rows and elements of what is left of a bucket that is settled at once, in tiles of about TILE rows.
 GROUP_ROWS, GROUP_CELLS, TILE = 2_000, 4_000_000, 128
 

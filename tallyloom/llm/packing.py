@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import lean, pieces, read, texts_of
+from tallyloom.llm.common import lean, pieces, read, remembers, texts_of
 
 #: Texts of these characters alone are split into words here; for any other, the library splits them.
 #: In this range all Unicode versions agree on letters, digits, space and case. "<|" may begin a special token.
@@ -77,6 +77,9 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+remembers(__name__, encoder.cache_clear)
+
+
 def binary_lengths(total: int, most: int) -> list[int]:
     """Powers of two that add up to total, largest first, none above most (itself a power of two)."""
     rest = total % most

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.automaton import Rule, Scanner
-from tallyloom.llm.common import lean, pieces, read, texts_of
+from tallyloom.llm.common import lean, pieces, read, remembers, texts_of
 
 #: The kinds that every report counts. {32}: matches of hex are maximal runs, so asking for the least
 #: length at once is the same as dropping shorter ones.
@@ -36,6 +36,9 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 
 
+remembers(__name__, scanner.cache_clear)
+
+
 def spans_of(texts: list[str], rules: tuple[Rule, ...]) -> list[list[tuple[int, int, int]]]:
     """For each text its sorted (start, rule number, end) in code points, end exclusive."""
     data = [x.encode("utf-8", "surrogatepass") for x in texts]

@@ -23,7 +23,7 @@ NEIGHBOURS, THRESHOLD, BLOCK = 15, 0.3, 32
 #: Deviations that a term has to differ between the labels before it weighs more than its idf.
 NOISE = 3.0
 #: Terms in one of so many rows or more are kept as dense rows; texts that are searched for at once.
-COMMON, TOGETHER = 16, 64
+COMMON, TOGETHER = 16, 32
 #: More than single precision loses in a sum of products of unit vectors.
 ERROR = 1e-4
 
@@ -173,7 +173,7 @@ class ToxicityModel:
 
     def judge(self, texts: list[str]) -> list[tuple[float, list[tuple[float, int, int]]]]:
         """Calibrated score of each text and the neighbours that it rests on."""
-        if self.known is None or len(self.known) > 4_000:
+        if self.known is None or len(self.known) > 2_000:
             self.known = {}
         out = []
         for begin in range(0, len(texts), TOGETHER):
@@ -286,7 +286,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def run(batches):
         own = shared.value
         own.known = None
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1_000_000, 512):
             got = own.judge(texts_of(batch))
             evidence = [[{"doc_id": i, "similarity": s, "toxic": int(own.labels[r])} for s, i, r in found] for _, found in got]
             scores = [s for s, _ in got]
