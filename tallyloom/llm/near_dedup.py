@@ -13,7 +13,7 @@ from tallyloom.llm.common import cut, drop_rows, lean, pieces, prefilter, read,
 SIMILARITY = 0.8
 remembers(__name__, darts.forget)
 #: Rows and elements of what is left of a bucket that is settled at once, in tiles of about TILE rows.
-GROUP_ROWS, GROUP_CELLS, TILE = 2_000, 4_000_000, 128
+GROUP_ROWS, GROUP_CELLS, TILE = 2_000, 4_000_000, 512
 
 
 def _sign(docs: DataFrame) -> DataFrame:
