@@ -12,8 +12,9 @@ from tallyloom.llm.common import cut, drop_rows, lean, pieces, prefilter, read,
 
 SIMILARITY = 0.8
 remembers(__name__, darts.forget)
-#: Rows and elements of what is left of a bucket that is settled at once, in tiles of about TILE rows.
-GROUP_ROWS, GROUP_CELLS, TILE = 2_000, 4_000_000, 512
+#: Rows of what is left of a bucket beyond which it is settled after all others; about so many rows and elements of a
+#: tile; elements that two tiles are multiplied over at a time.
+GROUP_ROWS, TILE, TILE_CELLS, COLUMNS = 2_000, 1024, 1_000_000, 4096
 
 
 def _sign(docs: DataFrame) -> DataFrame:
@@ -60,91 +61,133 @@ def _measure(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a_hash").join(one("b"), "b_hash").select("a", "a_cells", "b", "b_cells").mapInArrow(lean(run), "a bigint, b bigint, sim double")
 
 
+def _overlaps(low: list, high: list) -> np.ndarray:
+    """(low, high) numbers that the shared weight of two texts doesn't exceed: sums of roots of products of their
+    weights, which are the shared weight itself where weights are equal."""
+    out = np.zeros((len(low), len(high)), np.float32)
+    sides = [(np.repeat(np.arange(len(x)), [len(e) for e, _ in x]), np.concatenate([e for e, _ in x]), np.concatenate([w for _, w in x])) for x in (low, high)]
+    both = np.intersect1d(sides[0][1], sides[1][1])
+    at = [np.searchsorted(both, e) for _, e, _ in sides]
+    for start in range(0, len(both), COLUMNS):
+        part = both[start : start + COLUMNS]
+        dense = []
+        for (row, element, weight), spot, own in zip(sides, at, (low, high), strict=True):
+            inside = np.flatnonzero((spot >= start) & (spot < start + len(part)))
+            inside = inside[both[spot[inside]] == element[inside]]
+            block = np.zeros((len(own), len(part)), np.float32)
+            block[row[inside], spot[inside] - start] = np.sqrt(weight[inside])
+            dense.append(block)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def _connect(low: list, high: list, low_side: np.ndarray, high_side: np.ndarray, maybe: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs i, j at the threshold or above, enough to connect all sides that such pairs connect. maybe: the pairs
+    that have to be looked at. Each pair that counts is measured exactly."""
+    weight = [np.array([float(w.sum()) for _, w in x]) for x in (low, high)]
+    both = weight[0][:, None] + weight[1][None, :]
+    maybe = maybe & (low_side[:, None] != high_side[None, :])
+    maybe &= np.minimum(weight[0][:, None], weight[1][None, :]) >= threshold * np.maximum(weight[0][:, None], weight[1][None, :])
+    rows, columns = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+    if not len(rows):
+        return []
+    share = np.zeros(maybe.shape)
+    share[np.ix_(rows, columns)] = _overlaps([low[i] for i in rows], [high[j] for j in columns]) / both[np.ix_(rows, columns)]
+    maybe &= share >= threshold / (1 + threshold) * 0.999  # single precision
+    found = []
+    low_side, high_side = low_side.copy(), high_side.copy()
+    for i in np.flatnonzero(maybe.any(axis=1)).tolist():
+        while len(left := np.flatnonzero(maybe[i] & (high_side != low_side[i]))):
+            j = int(left[np.argmax(share[i, left])])
+            maybe[i, j] = False
+            if darts.similarity(low[i], high[j]) >= threshold:
+                found.append((i, j))
+                old, new = high_side[j], low_side[i]
+                low_side[low_side == old] = new
+                high_side[high_side == old] = new
+    return found
+
+
 def _settle(group: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
-    """Links a, b within groups of bounded size (n): pairs that are not connected yet and, by their distances
-    from the leader, could be near are compared.
+    """Links a, b between the rows of a bucket that are apart from its leader (n_apart) and all others in group that
+    are on another side and, by their distances from the leader (d), could be near.
 
-    A group is dealt to tiles by a hash, and each two tiles, or one with itself, are a task's work: a row is
-    sent as often as its group has tiles. The same group, met in several bands, is settled once."""
+    Rows that are apart and rows that aren't are dealt to tiles by a hash. Each two tiles of which one holds rows
+    that are apart are a task's work, and so is one such tile with itself: a row is sent as often as there are tiles
+    to meet, and no task holds more than two tiles. The same rows, met in several bands, are settled once."""
     reach = 1.0 - threshold + 1e-12
     mine = F.struct(F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b"), F.count(F.lit(1)).alias("n"))
-    once = group.groupBy("band", "key").agg(mine.alias("of")).groupBy("of").agg(F.min(F.struct("band", "key")).alias("one")).select("one.*")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    dealt = group.join(once, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(2)), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("band", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "text_hash", "tag", "d")
+    count = lambda x: F.greatest(F.ceil(F.count_if(x) / TILE), F.ceil(F.sum(F.when(x, F.col("size")).otherwise(0)) / TILE_CELLS)).cast("int")
+    once = group.groupBy("band", "key").agg(mine.alias("of"), count(F.col("apart")).alias("n_apart"), count(~F.col("apart")).alias("n_rest"))
+    once = once.groupBy("of").agg(F.min(F.struct("band", "key", "n_apart", "n_rest")).alias("one")).select("one.*")
+    spot = F.xxhash64("node", F.lit(2))
+    tile = F.when(F.col("apart"), F.pmod(spot, "n_apart")).otherwise(F.col("n_apart") + F.pmod(spot, F.greatest("n_rest", F.lit(1)))).cast("int")
+    others = F.when(F.col("apart"), F.col("n_apart") + F.col("n_rest")).otherwise(F.col("n_apart"))
+    dealt = group.join(once, ["band", "key"]).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    dealt = dealt.select("band", "key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "text_hash", "side", "d")
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = sorted(rows.select(["node", "tile", "tag", "d", "cells"]).to_pylist(), key=lambda r: r["node"])
-        own = [darts.unpack(r["cells"]) for r in rows]
-        weight = [float(w.sum()) for _, w in own]
-        top = list(range(len(rows)))
-
-        def find(i: int) -> int:
-            while top[i] != i:
-                top[i] = top[top[i]]
-                i = top[i]
-            return i
-
-        first: dict[int, int] = {}
-        for i, r in enumerate(rows):
-            if r["tag"] is not None:
-                top[i] = find(first.setdefault(r["tag"], i))
+        rows = rows.sort_by("node")
+        tile, node, side, d = (rows.column(x).to_numpy() for x in ("tile", "node", "side", "d"))
+        own = [darts.unpack(x) for x in rows.column("cells").to_pylist()]
+        low = np.flatnonzero(tile == tile.min())
+        high = np.flatnonzero(tile == tile.max())
         found = []
-        inside = len({r["tile"] for r in rows}) == 1
-        for i, x in enumerate(rows):
-            for j in range(i):
-                y = rows[j]
-                if (inside or x["tile"] != y["tile"]) and find(i) != find(j) and abs(x["d"] - y["d"]) <= reach and min(weight[i], weight[j]) >= threshold * max(weight[i], weight[j]) and darts.similarity(own[i], own[j]) >= threshold:
-                    top[find(i)] = find(j)
-                    found.append((x["node"], y["node"]))
-        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+        if rows.column("low")[0].as_py() == rows.column("high")[0].as_py() or tile.min() != tile.max():
+            maybe = np.abs(d[low][:, None] - d[high][None, :]) <= reach
+            found = _connect([own[i] for i in low], [own[j] for j in high], side[low], side[high], maybe, threshold)
+        return pa.table({"a": pa.array([node[low[i]] for i, _ in found], pa.int64()), "b": pa.array([node[high[j]] for _, j in found], pa.int64())})
 
     return dealt.join(cells, "text_hash").groupBy("band", "key", "low", "high").applyInArrow(run, "a bigint, b bigint")
 
 
+def _apart(group: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
+    """What links leave of group(band, key, node, text_hash, size, leader, d): side, the row's component by the
+    links, and whether that is apart from the leader's. Buckets of which nobody could still be linked go, as do
+    rows that are on the leader's side and, by their distances from it, not near anyone apart."""
+    reach = 1.0 - threshold + 1e-12
+    label = components(links)
+    sided = group.join(label, "node", "left").withColumn("side", F.coalesce("label", "node")).drop("label")
+    sided = sided.join(label.select(F.col("node").alias("leader"), "label"), "leader", "left").withColumn("apart", F.col("side") != F.coalesce("label", "leader")).drop("label")
+    apart = F.col("apart")
+    gap = sided.groupBy("band", "key").agg(F.min(F.when(apart, F.col("d"))).alias("gap"))
+    left = sided.join(gap.where("gap is not null"), ["band", "key"]).where(apart | (F.col("gap") <= F.col("d") + reach)).drop("gap")
+    more = left.groupBy("band", "key").agg(F.min("side").alias("low"), F.max("side").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    return cut(left.join(more.select("band", "key", "n"), ["band", "key"]))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame | None:
     """Links a, b between nodes: enough of those at the threshold or above to connect all that a band brings together.
 
-    In each bucket one leader is compared with all others: as many comparisons as rows, never all pairs.
-    By the triangle inequality of the distance 1 - similarity, a member whose distance from the leader is d
-    can only be near members from d - (1 - threshold) to d + (1 - threshold). Members connected to the leader
-    stay only if someone who isn't is within that reach of them.
-    What stays of a bucket is settled at once if it is small (GROUP_ROWS and GROUP_CELLS); a larger rest gets
-    another leader, round after round, until it is small or nobody in it could still be linked. So no link
-    that matters is lost, whatever a bucket's size.
+    In each bucket one leader is compared with all others. It is the row whose buckets, of all bands, have most rows
+    together: the text that most others are copies of, so that most are near it, and so that the buckets of a large
+    class have one leader and each of their rows is measured once. By the triangle inequality of the
+    distance 1 - similarity, a member whose distance from the leader is d can only be near members from
+    d - (1 - threshold) to d + (1 - threshold). Members connected to the leader, in whatever bucket, stay only if
+    someone who isn't is within that reach of them. All that are apart are then compared with all that is left, in
+    tiles: first in small rests, then in large ones (GROUP_ROWS), where fewer are apart by then. So no link that
+    matters is lost, and the steps are as many whatever a bucket's size and however little its rows have in common.
     """
-    reach = 1.0 - threshold + 1e-12
-    spread = nodes.select("node", "text_hash", "size", F.posexplode("bands").alias("band", "key")).withColumn("tag", F.lit(None).cast("bigint"))
-    common = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "key")
+    spread = nodes.select("node", "text_hash", "size", F.posexplode("bands").alias("band", "key"))
+    common = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     group = cut(spread.join(common, ["band", "key"]))
-    links = cells = None
-    while not group.isEmpty():
-        if cells is None:
-            cells = cut(_cells_of(docs, group.select("text_hash")))
-        # a leader is a member that is connected to no other, if there is one
-        lead = group.groupBy("band", "key").agg(F.min(F.when(F.col("tag").isNull(), F.col("node"))).alias("new"), F.min(F.struct("node", "tag")).alias("any"))
-        lead = lead.select("band", "key", F.coalesce("new", "any.node").alias("leader"), F.when(F.col("new").isNull(), F.col("any.tag")).alias("leader_tag"))
-        hashes = nodes.select(F.col("node").alias("leader"), F.col("text_hash").alias("leader_hash"))
-        others = group.join(lead, ["band", "key"]).where(F.col("node") != F.col("leader"))
-        pairs = others.select(F.col("node").alias("a"), F.col("text_hash").alias("a_hash"), "leader").distinct().join(hashes, "leader").select("a", "a_hash", F.col("leader").alias("b"), F.col("leader_hash").alias("b_hash"))
-        sims = cut(_measure(pairs, cells))
-        near = sims.where(F.col("sim") >= threshold).select("a", "b")
-        links = near if links is None else links.unionByName(near)
-        far = others.join(sims, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))).select("band", "key", "node", "text_hash", "size", "tag", "leader", (1 - F.col("sim")).alias("d"))
-        # whoever is near the leader brings along those that it is connected to
-        is_near = F.col("d") <= reach
-        joined = far.where(is_near & F.col("tag").isNotNull()).select("band", "key", "tag").union(lead.where("leader_tag is not null").select("band", "key", "leader_tag")).distinct().withColumn("joins", F.lit(True))
-        far = far.join(joined, ["band", "key", "tag"], "left").withColumn("tag", F.when(is_near | F.col("joins"), F.col("leader")).otherwise(F.col("tag"))).drop("joins")
-        apart = F.col("tag").isNull() | (F.col("tag") != F.col("leader"))
-        gap = far.groupBy("band", "key").agg(F.min(F.when(apart, F.col("d"))).alias("gap"))
-        left = far.join(gap.where("gap is not null"), ["band", "key"]).where(apart | (F.col("gap") <= F.col("d") + reach)).drop("gap", "leader")
-        side = F.coalesce("tag", "node")
-        more = left.groupBy("band", "key").agg(F.min(side).alias("low"), F.max(side).alias("high"), F.count(F.lit(1)).alias("n"), ((F.count(F.lit(1)) <= GROUP_ROWS) & (F.sum("size") <= GROUP_CELLS)).alias("small"))
-        left = cut(left.join(more.where("low <> high").select("band", "key", "n", "small"), ["band", "key"]))
-        small = left.where("small")
-        if not small.isEmpty():
-            links = links.unionByName(_settle(small, cells, threshold))
-        group = left.where("not small").drop("d", "n", "small")
+    if group.isEmpty():
+        return None
+    cells = cut(_cells_of(docs, group.select("text_hash")))
+    lead = group.join(group.groupBy("node").agg(F.sum("n").alias("rank")), "node").groupBy("band", "key").agg(F.max(F.struct("rank", (-F.col("node")).alias("first"), "text_hash")).alias("one"))
+    lead = lead.select("band", "key", (-F.col("one.first")).alias("leader"), F.col("one.text_hash").alias("leader_hash"))
+    others = group.drop("n").join(lead, ["band", "key"]).where("node <> leader")
+    pairs = others.select(F.col("node").alias("a"), F.col("text_hash").alias("a_hash"), F.col("leader").alias("b"), F.col("leader_hash").alias("b_hash")).distinct()
+    sims = cut(_measure(pairs, cells))
+    links = sims.where(F.col("sim") >= threshold).select("a", "b")
+    far = others.join(sims, (F.col("node") == F.col("a")) & (F.col("leader") == F.col("b"))).select("band", "key", "node", "text_hash", "size", "leader", (1 - F.col("sim")).alias("d"))
+    rest = _apart(far, links, threshold)
+    large = rest.where(F.col("n") > GROUP_ROWS).drop("side", "apart", "n")
+    small = rest.where(F.col("n") <= GROUP_ROWS)
+    if not small.isEmpty():
+        links = links.unionByName(cut(_settle(small, cells, threshold)))
+    if not large.isEmpty():
+        links = links.unionByName(cut(_settle(_apart(large, links, threshold), cells, threshold)))
     return links
 
 

@@ -142,6 +142,57 @@ def test_large_rests(spark, monkeypatch, group, tile):
     assert classes(N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("many", [12, 60])
+def test_rows_that_are_apart_take_no_further_rounds(spark, monkeypatch, many):
+    """Rows that share buckets and are near nobody: tables are written as often for many as for few."""
+    monkeypatch.setattr(N, "GROUP_ROWS", 3)
+    written = []
+    monkeypatch.setattr(N, "cut", lambda df, f=N.cut: written.append(df.columns) or f(df))
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(many):
+        own = list(base)
+        for at in rng.choice(400, 10, replace=False):
+            own[at] = f"n{i}_{at}"
+        rows.append((i, " ".join(own)))
+    rows.append((many, rows[-1][1] + " and an end"))
+    want = brute(rows)
+    assert len(want) == many
+    assert classes(N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == want
+    assert len(written) <= 20
+
+
+def test_tiles_connect_what_pairs_do(monkeypatch):
+    """Weights of all kinds, in columns of a few elements; sides that are known stay together."""
+    monkeypatch.setattr(N, "COLUMNS", 7)
+    rng = np.random.default_rng(9)
+    joined = 0
+    for trial in range(40):
+        base = rng.choice([0.5, 1.0, 1.0, 2.0, 9.0, 1e6] if trial % 2 else [1.0], 30)
+        own = []
+        for _ in range(24):
+            here = rng.random(30) < 0.93
+            element = np.flatnonzero(here).astype(np.uint64) * np.uint64(1 << 40)
+            own.append((element, np.where(rng.random(30) < 0.1, base + 1, base)[here]))
+        side = rng.integers(0, 20, 24)
+        low, high = np.arange(10), np.arange(10, 24) if trial % 3 else np.arange(10)
+        maybe = rng.random((len(low), len(high))) < 0.8
+        found = N._connect([own[i] for i in low], [own[j] for j in high], side[low], side[high], maybe, 0.8)
+
+        def parts(pairs, side=side):
+            label = side.copy()
+            for i, j in pairs:
+                label[label == label[j]] = label[i]
+            return [[bool(x == y) for y in label] for x in label]
+
+        near = [(low[i], high[j]) for i in range(len(low)) for j in range(len(high)) if maybe[i, j] and M.similarity(own[low[i]], own[high[j]]) >= 0.8]
+        assert parts([(low[i], high[j]) for i, j in found]) == parts(near)
+        assert all((low[i], high[j]) in near for i, j in found) and len(found) < 24
+        joined += len(found)
+    assert joined > 40
+
+
 def test_chains_and_odd_rows(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in rng.integers(0, 10_000, 300)]
