@@ -102,3 +102,18 @@ def test_stages_take_odd_rows(spark, tmp_path):
         assert sorted(str(r.doc_id) for r in kept["near_dedup"]) == ["2", "5", "7", "8", "None"]
         assert [(r.text, r.n_chars) for r in kept["secrets"] if r.doc_id == 7] == [("[assign] stays", 14)]
         assert sum(r.length for r in kept["packing"] if r.doc_id == 2) == 1
+
+
+def test_near_dedup_stage_takes_no_round_a_row(spark, monkeypatch):
+    """Rows of one bucket that are near nobody: the stage writes as few tables as for a handful of them."""
+    from tallyloom.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "GROUP_ROWS", 3)
+    written = []
+    monkeypatch.setattr(near_dedup, "cut", lambda df, f=near_dedup.cut: written.append(1) or f(df))
+    rows = [(i, " ".join(f"n{i}_{k}" if k % 30 == i % 30 else f"w{k}" for k in range(300))) for i in range(30)]
+    rows.append((30, rows[0][1] + " and an end"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = C.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+    assert len(written) <= 20
