@@ -11,7 +11,9 @@ that none has hit.
 
 from __future__ import annotations
 
-import re
+import sys
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import xxhash
@@ -21,15 +23,14 @@ SHINGLE, ROWS, BANDS = 5, 5, 26
 COORDINATES = ROWS * BANDS
 #: Darts that a text looks at first: so many for each coordinate that most texts need no more.
 DARTS = int(COORDINATES * (np.log(COORDINATES) + 3))
+#: Characters whose hashes are held at once, unless one text has more.
+CHARACTERS = 1 << 18
 
-_words = re.compile(r"\w+").findall
-_hashes: dict[str, int] = {}
-_REMEMBERED = 100_000
 
-
-def forget() -> None:
-    """Drop the words whose hashes are remembered."""
-    _hashes.clear()
+@cache
+def _in_words() -> np.ndarray:
+    r"""For each code point, whether it is a letter, a digit or an underscore, as in \w."""
+    return np.fromiter((chr(i).isalnum() or i == 95 for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,12 +41,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_words(words: list[str]) -> np.ndarray:
-    if len(_hashes) > _REMEMBERED:
-        _hashes.clear()
-    for w in set(words).difference(_hashes):
-        _hashes[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+def _hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, in order, and how many each text has; about CHARACTERS are taken at once."""
+    turn = np.cumsum([len(x) for x in texts]) // CHARACTERS
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), len(texts)]
+    return tuple(np.concatenate(x) for x in zip(*(_hash_some(texts[a:b]) for a, b in pairwise(cuts)), strict=True))
+
+
+def _hash_some(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A word's hash is the mixed sum of hashes of its characters, each with its place in the word."""
+    lowered = [x.lower() for x in texts]
+    points = np.frombuffer("\0".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = _in_words()[points]
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    begin = np.cumsum(length) - length
+    place = (np.arange(int(length.sum())) - np.repeat(begin, length)).astype(np.uint64)
+    hashed = mix(points[inside] | place << np.uint64(21))
+    ends = np.cumsum([len(x) + 1 for x in lowered])
+    return mix(np.add.reduceat(hashed, begin)) if len(begin) else np.zeros(0, np.uint64), np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(texts))
 
 
 def _order(values: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -60,9 +74,7 @@ def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Words are runs of letters, digits and underscores in lower case. A text of fewer words than SHINGLE
     is one shingle; a text without words is one element, the hash of the whole text."""
-    words = [_words(x.lower()) for x in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    hashed = np.concatenate([_hash_words(w) for w in words]) if len(words) else np.zeros(0, np.uint64)
+    hashed, counts = _hash_words(texts)
     wide = np.append(hashed, np.zeros(SHINGLE, np.uint64))
     row = np.repeat(np.arange(len(texts)), counts)
     left = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashed))  # words up to the text's end
@@ -116,7 +128,7 @@ def _arrive(region: np.ndarray, text: np.ndarray, until: np.ndarray, low=None, w
     """Darts of cuts of the given low ends and widths (0 and 1 if None) that fall below the weights."""
     found, time, serial = [], np.zeros(len(region)), 0
     while len(region):
-        steps = 1 if len(region) > 30_000 else 32
+        steps = max(1, min(32, 60_000 // len(region)))
         n = (serial + np.arange(steps, dtype=np.uint64))[None, :]
         dart = mix(region[:, None] ^ mix(n + np.uint64(1)))
         wait = -np.log(_unit(mix(dart)))
